@@ -7,13 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, quality
+from . import mixing, quality, simhash
 from .common import table
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash.linked(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
 def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("copies").cast("bigint").alias("copies"))
@@ -24,5 +29,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.outliers(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op7_mix_sources, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op6_simhash_near_duplicates, op7_mix_sources, op10_quality_rules)}
 SQL: dict[str, str] = {k: v for k, v in ORACLES.items() if k in QUERIES}
