@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html, mixing, quality, simhash, sketch
+from . import classifier, html, mixing, quality, simhash, sketch, substrings
 from .common import table
 from .oracles import ORACLES
 
@@ -36,10 +36,15 @@ def op7_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select("doc_id", "size", "source_size", "target", "taken", F.col("copies").cast("bigint").alias("copies"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = substrings.dedup(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.statistics(table(spark, sf_dir, "documents"), "doc_id", "lang", "source")
     return quality.outliers(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_scaled_fingerprints, op2_html_main_text, op4_quality_classifier, op6_simhash_near_duplicates, op7_mix_sources, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_scaled_fingerprints, op2_html_main_text, op4_quality_classifier, op6_simhash_near_duplicates, op7_mix_sources, op8_substring_dedup, op10_quality_rules)}
 SQL: dict[str, str] = {k: v for k, v in ORACLES.items() if k in QUERIES}
