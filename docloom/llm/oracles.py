@@ -118,4 +118,16 @@ select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   not base_failed and coalesce(d2 <= {d.CUTOFF}, true) kept from df"""
 
 
-ORACLES = {"op7_mix_sources": OP7, "op10_quality_rules": _quality()}
+OP5 = r"""
+with t as (select distinct conv_id, turn, role, text from conversations where conv_id is not null),
+c as (
+  select conv_id, list({'role': role, 'text': text} order by turn, role, text) turns,
+    string_agg('<|' || replace(coalesce(role, 'unknown'), '|', '\|') || '|>' || chr(10) || replace(coalesce(text, ''), '<|', '<\|') || chr(10) || '<|end|>' || chr(10), '' order by turn, role, text) text
+  from t group by conv_id),
+g as (select turns, min(conv_id) conv_id, count(*) n_same from c group by turns),
+p as (select distinct turns[1:n] turns from (select turns, unnest(range(1, len(turns))) n from g))
+select g.conv_id, cast(len(g.turns) as bigint) n_turns, cast(g.n_same as bigint) n_same, c.text
+from g join c on g.conv_id = c.conv_id where g.turns not in (select turns from p)
+"""
+
+ORACLES = {"op5_chat_formatting": OP5, "op7_mix_sources": OP7, "op10_quality_rules": _quality()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import classifier, html, mixing, quality, simhash, sketch, substrings
+from . import chat, classifier, html, mixing, quality, simhash, sketch, substrings
 from .common import table
 from .oracles import ORACLES
 
@@ -26,6 +26,10 @@ def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.format_chats(table(spark, sf_dir, "conversations"))
+
+
 def op6_simhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.linked(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
@@ -46,5 +50,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.outliers(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_scaled_fingerprints, op2_html_main_text, op4_quality_classifier, op6_simhash_near_duplicates, op7_mix_sources, op8_substring_dedup, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_scaled_fingerprints, op2_html_main_text, op4_quality_classifier, op5_chat_formatting, op6_simhash_near_duplicates, op7_mix_sources, op8_substring_dedup, op10_quality_rules)}
 SQL: dict[str, str] = {k: v for k, v in ORACLES.items() if k in QUERIES}
