@@ -1,4 +1,388 @@
-"""Queries over the driver's tables."""
+"""The engine's operators as queries over the driver's tables, and DuckDB SQL for their rows."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions.embed import HashEmbedder, embedded
+from ..functions.text import SIMPLE, STOP_WORDS, basename, extension, is_blank, stem, tokens
+from ..operators import bm25, chunking, fusion, knn, postings
+from ..operators.upsert import upsert
+from ..sources.tables import load
+from . import compile as compiler
+from .querylang import read
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+K = 10
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def r6(c: Column) -> Column:
+    return F.round(c, 6)
+
+
+def docs(spark: SparkSession, sf: str) -> DataFrame:
+    return load(spark, sf, "documents")
+
+
+def corpus(spark: SparkSession, sf: str) -> postings.Postings:
+    """Documents as chunks: the id is the doc_id, the source the source_id."""
+    rows = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"), F.col("source").alias("source_id"))
+    return postings.build(rows, pattern=SIMPLE)
+
+
+def flagship(spark: SparkSession, sf: str) -> DataFrame:
+    """Paragraph chunks, BM25 top 10 for three words, with what a result shows."""
+    chunks = chunking.chunk_table(docs(spark, sf)).withColumn("chunk_id", F.xxhash64("document_id"))
+    x = postings.build(chunks)
+    best = bm25.top(compiler.search(x, read("ndly haha wher")), K)
+    rows = chunks.join(F.broadcast(best), "chunk_id")
+    return rows.select("rank", r6(F.col("score")).alias("score"), "content", "source_file", "source_path", F.col("chunk_number").alias("paragraph_number"), "document_id", "source_id")
+
+
+# -- SQL building blocks
+
+STOP = ", ".join(f"'{w}'" for w in STOP_WORDS)
+RAW = r"""
+raw as (select doc_id, source, regexp_extract_all(lower(coalesce(text, '')), '[\p{L}\p{N}]+') ws from documents),
+pos as (select doc_id, source, unnest(ws) term, unnest(range(0, len(ws))) p from raw)"""
+TOK = f"{RAW},\ntok as (select * from pos where term not in ({STOP}))"
+IDX = f"""{TOK},
+dl as (select raw.doc_id, raw.source, count(tok.term) dl from raw left join tok on raw.doc_id = tok.doc_id group by all),
+st as (select count(*) n, sum(dl)::double / count(*) avgdl from dl),
+post as (select tok.doc_id, term, count(*) tf from tok group by all),
+df as (select term, count(*) df from post group by term)"""
+IDF = "ln(1 + (n - df + 0.5) / (df + 0.5))"
+WEIGHT = "2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))"
+
+
+def leaf(name: str, terms: dict[str, float], dl: str = "dl.dl") -> str:
+    """CTE name(doc_id, s) for an OR of terms."""
+    rows = ", ".join(f"('{t}', {b}::double)" for t, b in terms.items())
+    w = WEIGHT.replace("dl /", f"{dl} /")
+    return f"""{name} as (select post.doc_id, sum(q.b * {IDF} * {w}) s from (values {rows}) q(t, b)
+  join df on df.term = q.t join post on post.term = q.t join dl on dl.doc_id = post.doc_id, st group by post.doc_id)"""
+
+
+def best(source: str, k: int = K) -> str:
+    return f"select doc_id, round(s, 6) score, row_number() over (order by s desc, doc_id)::integer rank from {source} order by s desc, doc_id limit {k}"
+
+
+def _text_query(text: str, k: int = K, **options) -> Query:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        got = bm25.top(compiler.search(corpus(spark, sf), read(text), **options), k)
+        return got.select(F.col("chunk_id").alias("doc_id"), r6(F.col("score")).alias("score"), "rank")
+
+    return run
+
+
+def text_query(name: str, text: str, sql: str | None, **options) -> None:
+    QUERIES[name] = _text_query(text, **options)
+    if sql:
+        SQL[name] = f"with {IDX},\n{sql}"
+
+
+# -- scans and chunks
+
+PATHS = "concat('/data/in.d/', doc_id::varchar, case when doc_id % 3 = 0 then '.md' when doc_id % 3 = 1 then '.tar.TXT' else '' end)"
+NAMED = "concat('/data/in.d/', cast(doc_id as string), case when doc_id % 3 = 0 then '.md' when doc_id % 3 = 1 then '.tar.TXT' else '' end)"
+
+
+@query(f"""with p as (select *, {PATHS} path from documents)
+select doc_id, path source_path, regexp_extract(path, '([^/]*)$', 1) source_file, regexp_replace(regexp_extract(path, '([^/]*)$', 1), '\\.[^.]*$', '') source_id,
+  regexp_extract(path, '(\\.[^./]+)$', 1) ext, lower(regexp_extract(path, '(\\.[^./]+)$', 1)) in ('.txt', '.md') can_read,
+  regexp_extract(path, '([^/]*)$', 1) || '_1' document_id from p""")
+def scan_documents_projection(spark, sf):
+    from ..sources.files import readable
+
+    d = docs(spark, sf).withColumn("path", F.expr(NAMED))
+    p = F.col("path")
+    return d.select("doc_id", p.alias("source_path"), basename(p).alias("source_file"), stem(p).alias("source_id"), extension(p).alias("ext"), readable(p).alias("can_read"), F.concat_ws("_", basename(p), F.lit(1)).alias("document_id"))
+
+
+LINES = r"list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ' || chr(9) || chr(13))), lambda x: x <> '')"
+CHUNKS = f"par as (select doc_id, source, unnest(cs) content, unnest(range(1, len(cs) + 1)) n from (select doc_id, source, {LINES} cs from documents))"
+
+
+@query(f"with {CHUNKS} select doc_id::varchar source_file, source source_id, n::integer chunk_number, content, doc_id::varchar || '_' || n document_id from par")
+def paragraph_chunks_single_newline(spark, sf):
+    return chunking.chunk_table(docs(spark, sf)).drop("source_path")
+
+
+PARA = "select conv_id, string_agg(text, chr(10) || chr(10) order by turn) t from conversations group by conv_id"
+
+
+def _para(spark, sf):
+    c = load(spark, sf, "conversations")
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), "\n\n").alias("t"))
+
+
+def _markdown(spark, sf):
+    c = load(spark, sf, "conversations")
+    part = F.concat(F.lit("## "), "role", F.lit(" "), F.col("turn").cast("string"), F.lit("\n"), "text")
+    return c.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", part.alias("p")))), lambda x: x["p"]), "\n").alias("t"))
+
+
+@query(f"""with d as ({PARA}), s as (select conv_id, t, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') cs from d),
+c as (select conv_id, case when len(cs) = 1 then list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') else cs end cs from s)
+select conv_id, unnest(cs) content, unnest(range(1, len(cs) + 1))::integer chunk_number from c""")
+def paragraph_chunks_double_newline(spark, sf):
+    d = _para(spark, sf).select("conv_id", F.posexplode(chunking.paragraphs(F.col("t"))).alias("pos", "content"))
+    return d.select("conv_id", "content", (F.col("pos") + 1).alias("chunk_number"))
+
+
+MD = """md as (select conv_id, string_agg('## ' || role || ' ' || turn || chr(10) || text, chr(10) order by turn) t from conversations group by conv_id),
+ln as (select conv_id, unnest(string_split(t, chr(10))) line, unnest(range(1, len(string_split(t, chr(10))) + 1)) ln from md),
+hd as (select *, regexp_matches(line, '^#{1,6}\\s+.+$') h from ln),
+sec as (select *, sum(h::int) over (partition by conv_id order by ln) sec from hd),
+cut as (select conv_id, sec, trim(string_agg(line, chr(10) order by ln), ' ' || chr(10)) content, min(ln) a, max(ln) b,
+  max(case when h then length(regexp_extract(line, '^(#{1,6})', 1)) else 0 end) lvl, coalesce(max(case when h then trim(regexp_extract(line, '^#{1,6}\\s+(.+)$', 1)) end), '') header from sec group by conv_id, sec)"""
+
+
+@query(f"with {MD} select conv_id, content, row_number() over (partition by conv_id order by a)::integer chunk_number from cut where content <> ''")
+def markdown_chunks(spark, sf):
+    names = F.transform(chunking.sections(F.col("t")), lambda s: s["content"])
+    d = _markdown(spark, sf).select("conv_id", F.posexplode(names).alias("pos", "content"))
+    return d.select("conv_id", "content", (F.col("pos") + 1).alias("chunk_number"))
+
+
+@query(f"with {MD} select conv_id, header header_text, lvl::integer header_level, a::integer start_line, b::integer end_line from cut where content <> ''")
+def markdown_chunk_metadata(spark, sf):
+    d = _markdown(spark, sf).select("conv_id", F.inline(chunking.sections(F.col("t"))))
+    return d.select("conv_id", "header_text", "header_level", "start_line", "end_line")
+
+
+@query(f"""with {MD}, par as ({PARA}),
+ps as (select conv_id, t, list_filter(list_transform(string_split(t, chr(10) || chr(10)), lambda x: trim(x, ' ' || chr(10))), lambda x: x <> '') cs from par where conv_id % 2 = 1),
+pc as (select conv_id, case when len(cs) = 1 then list_filter(list_transform(string_split(t, chr(10)), lambda x: trim(x)), lambda x: x <> '') else cs end cs from ps)
+select conv_id, content, row_number() over (partition by conv_id order by a)::integer chunk_number from cut where content <> '' and conv_id % 2 = 0
+union all select conv_id, unnest(cs), unnest(range(1, len(cs) + 1))::integer from pc""")
+def chunk_dispatch(spark, sf):
+    a, b = _markdown(spark, sf).where("conv_id % 2 = 0").withColumn("path", F.lit("x.MD")), _para(spark, sf).where("conv_id % 2 = 1").withColumn("path", F.lit("x.txt"))
+    d = a.union(b).select("conv_id", F.posexplode(chunking.chunks_of(F.col("t"), F.col("path"))).alias("pos", "content"))
+    return d.select("conv_id", "content", (F.col("pos") + 1).alias("chunk_number"))
+
+
+@query("select * from (select doc_id, unnest(string_split(text, chr(10))) content from documents) where trim(content, ' ' || chr(9) || chr(13)) <> ''")
+def nonempty_chunk_filter(spark, sf):
+    d = docs(spark, sf).select("doc_id", F.explode(chunking.lines(F.col("text"))).alias("content"))
+    return d.where(~is_blank(F.col("content")))
+
+
+# -- index statistics
+
+
+@query(f"with {TOK} select doc_id, term, count(*)::integer tf from tok group by all")
+def term_frequencies(spark, sf):
+    return corpus(spark, sf).postings.select(F.col("chunk_id").alias("doc_id"), "term", "tf")
+
+
+@query(f"with {TOK} select term, count(distinct doc_id) df from tok group by term")
+def document_frequencies(spark, sf):
+    return corpus(spark, sf).terms
+
+
+@query(f"with {IDX} select count(*) n_chunks, sum(dl)::bigint sum_len, round(sum(dl)::double / count(*), 6) avgdl from dl")
+def corpus_stats(spark, sf):
+    return corpus(spark, sf).stats.withColumn("avgdl", r6(F.col("sum_len") / F.col("n_chunks")))
+
+
+@query(f"with {IDX} select doc_id, dl::integer dl from dl")
+def doc_lengths(spark, sf):
+    return postings.lengths(corpus(spark, sf).chunks, pattern=SIMPLE).withColumnRenamed("chunk_id", "doc_id")
+
+
+@query(f"with {TOK} select doc_id, term, p::integer pos from tok")
+def token_positions(spark, sf):
+    return docs(spark, sf).select("doc_id", F.inline(tokens(F.col("text"), SIMPLE)))
+
+
+# -- keyword search
+
+text_query("bm25_topk", "ndly haha wher", f"{leaf('l', dict.fromkeys(['ndly', 'haha', 'wher'], 1))} {best('l')}")
+text_query("bm25_single_term", "thing", f"{leaf('l', {'thing': 1})} {best('l')}")
+text_query("bm25_no_match", "elephant", f"{leaf('l', {'elephant': 1})} {best('l')}")
+_lossy = "(case when dl.dl > 0 then 1 / pow(pow(2.0, floor(log2(1 / sqrt(dl.dl)))) * (1 + floor((1 / sqrt(dl.dl) / pow(2.0, floor(log2(1 / sqrt(dl.dl)))) - 1) * 4) / 4), 2) else 0 end)"
+text_query("bm25_lossy_norm", "ndly haha wher", f"{leaf('l', dict.fromkeys(['ndly', 'haha', 'wher'], 1), _lossy)} {best('l')}", length_norm="lossy")
+_two = f"{leaf('a', {'thing': 1})}, {leaf('b', {'inth': 1})}"
+text_query("bm25_and", "thing AND inth", f"{_two}, l as (select a.doc_id, a.s + b.s s from a join b on a.doc_id = b.doc_id) {best('l')}")
+text_query("bm25_not", "thing NOT inth", f"{_two}, l as (select * from a where doc_id not in (select doc_id from b)) {best('l')}")
+text_query("bm25_must_should", "+thing inth", f"{_two}, l as (select a.doc_id, a.s + coalesce(b.s, 0) s from a left join b on a.doc_id = b.doc_id) {best('l')}")
+text_query("bm25_grouping", "(thing OR inth) AND erer", f"{_two}, {leaf('c', {'erer': 1})}, u as (select doc_id, sum(s) s from (from a union all from b) group by doc_id), l as (select u.doc_id, u.s + c.s s from u join c on u.doc_id = c.doc_id) {best('l')}")
+text_query("bm25_boost", "thing^2.5 inth", f"{leaf('l', {'thing': 2.5, 'inth': 1})} {best('l')}")
+text_query("bm25_escape_retry", 'thing) inth', f"{leaf('l', {'thing': 1, 'inth': 1})} {best('l')}")
+
+
+def _phrase_sql(words: list[str]) -> str:
+    joins = " ".join(f"join tok t{i} on t{i}.doc_id = t0.doc_id and t{i}.p = t0.p + {i} and t{i}.term = '{w}'" for i, w in enumerate(words) if i)
+    idfs = " + ".join(f"(select {IDF} from df, st where term = '{w}')" for w in words)
+    return f"""hit as (select t0.doc_id, count(*) tf from tok t0 {joins} where t0.term = '{words[0]}' group by t0.doc_id),
+l as (select hit.doc_id, ({idfs}) * {WEIGHT.replace('dl /', 'dl.dl /')} s from hit join dl on dl.doc_id = hit.doc_id, st) {best('l')}"""
+
+
+text_query("bm25_phrase", '"eriner thanea"', _phrase_sql(["eriner", "thanea"]))
+_constant = "l as (select distinct doc_id, {boost}::double s from tok where {test}) " + best("l")
+text_query("bm25_prefix", "wher*", _constant.format(boost=1, test="starts_with(term, 'wher')"))
+text_query("bm25_wildcard", "wh?r*th^1.5", _constant.format(boost=1.5, test="regexp_full_match(term, 'wh.r.*th')"))
+text_query("bm25_range", "[whera TO wherd}", _constant.format(boost=1, test="term >= 'whera' and term < 'wherd'"))
+text_query("bm25_regexp", "/wh(er|in)s[ht]+/", _constant.format(boost=1, test="regexp_full_match(term, 'wh(er|in)s[ht]+')"))
+text_query("bm25_match_all", "*:*", "l as (select doc_id, 1.0::double s from documents) " + best("l"))
+text_query("bm25_field", "source_id:src3", f"l as (select doc_id, ln(1 + (n - (select count(*) from documents where source = 'src3') + 0.5) / ((select count(*) from documents where source = 'src3') + 0.5)) s from documents, st where source = 'src3') {best('l')}")
+text_query("bm25_fuzzy", "wherth~1", f"""near as (select term, levenshtein(term, 'wherth') d from df where abs(length(term) - 6) <= 1), ex as (select term, 1 - d / least(length(term), 6)::double b from near where d <= 1 order by d, term limit 50),
+l as (select post.doc_id, sum(b * {IDF} * {WEIGHT.replace('dl /', 'dl.dl /')}) s from ex join df on df.term = ex.term join post on post.term = ex.term join dl on dl.doc_id = post.doc_id, st group by post.doc_id) {best('l')}""")
+
+
+def _filtered(scored: bool) -> Query:
+    ids = ["src3", "src7"]
+
+    def run(spark, sf):
+        x = corpus(spark, sf)
+        found = compiler.search(x, read("thing inth"))
+        found = found.join(x.chunks.where(F.col("source_id").isin(ids)).select("chunk_id", "source_id"), "chunk_id")
+        if scored:
+            per = x.chunks.where(F.col("source_id").isin(ids)).groupBy("source_id").agg(F.count("*").alias("df"))
+            found = found.join(per, "source_id").join(F.broadcast(x.stats)).withColumn("score", F.col("score") + bm25.idf(F.col("df"), F.col("n_chunks")))
+        got = bm25.top(found.select("chunk_id", "score"), K)
+        return got.select(F.col("chunk_id").alias("doc_id"), r6(F.col("score")).alias("score"), "rank")
+
+    return run
+
+
+QUERIES["bm25_source_filter"] = _filtered(False)
+QUERIES["bm25_source_filter_scored"] = _filtered(True)
+_some = f"with {IDX}, {leaf('a', {'thing': 1, 'inth': 1})}"
+SQL["bm25_source_filter"] = f"{_some}, l as (select a.* from a join documents d on a.doc_id = d.doc_id where source in ('src3', 'src7')) {best('l')}"
+SQL["bm25_source_filter_scored"] = f"{_some}, per as (select source, count(*) df from documents group by source), l as (select a.doc_id, a.s + {IDF} s from a join documents d on a.doc_id = d.doc_id join per on per.source = d.source, st where d.source in ('src3', 'src7')) {best('l')}"
+
+
+@query(f"""with {IDX},
+q as (select item_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) term from benchmark),
+qt as (select item_id, term, count(*)::double b from q where term not in ({STOP}) group by all),
+l as (select item_id, post.doc_id, sum(b * {IDF} * {WEIGHT.replace('dl /', 'dl.dl /')}) s from qt join df on df.term = qt.term join post on post.term = qt.term join dl on dl.doc_id = post.doc_id, st group by all),
+r as (select *, row_number() over (partition by item_id order by round(s, 9) desc, doc_id) rank from l)
+select item_id query_id, doc_id, round(s, 6) score, rank::integer rank from r where rank <= {K}""")
+def bm25_batch_topk(spark, sf):
+    q = load(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.inline(tokens(F.col("text"), SIMPLE))).select("query_id", "term")
+    x = corpus(spark, sf)
+    terms = q.groupBy("query_id", "term").agg(F.count("*").cast("double").alias("boost"))
+    scored = bm25.score_terms(x, terms, ["query_id"]).groupBy("query_id", "chunk_id").agg(F.round(F.sum("score"), 9).alias("score"))
+    return bm25.top(scored, K, "query_id").select("query_id", F.col("chunk_id").alias("doc_id"), r6(F.col("score")).alias("score"), "rank")
+
+
+# -- vectors
+
+D2 = "list_sum(list_transform(list_zip(v.embedding, q.embedding), lambda p: (p[1]::double - p[2]::double) ** 2))"
+
+
+def _query_vector(spark, sf, i: int = 7) -> list[float]:
+    return load(spark, sf, "embeddings").where(F.col("vec_id") == i).first()["embedding"]  # one row
+
+
+@query(f"select v.vec_id, round(1 - {D2} / 2, 6) score, row_number() over (order by round(1 - {D2} / 2, 9) desc, v.vec_id)::integer rank from embeddings v, (select embedding from embeddings where vec_id = 7) q order by rank limit {K}")
+def vector_topk(spark, sf):
+    best_ = knn.nearest(load(spark, sf, "embeddings"), _query_vector(spark, sf), K)
+    return best_.select("vec_id", r6(F.col("score")).alias("score"), "rank")
+
+
+@query(f"select v.vec_id, round(1 - {D2} / 2, 6) score, row_number() over (order by round(1 - {D2} / 2, 9) desc, v.vec_id)::integer rank from embeddings v, (select embedding from embeddings where vec_id = 7) q where v.label in (1, 4) order by rank limit {K}")
+def vector_source_filter(spark, sf):
+    some = load(spark, sf, "embeddings").where(F.col("label").isin(1, 4))
+    return knn.nearest(some, _query_vector(spark, sf), K).select("vec_id", r6(F.col("score")).alias("score"), "rank")
+
+
+@query(f"""with s as (select q.vec_id query_id, v.vec_id, round(1 - {D2} / 2, 6) score from embeddings v, embeddings q where q.vec_id % 50 = 0),
+r as (select *, row_number() over (partition by query_id order by score desc, vec_id) rank from s) select query_id, vec_id, score, rank::integer rank from r where rank <= {K}""")
+def vector_batch_topk(spark, sf):
+    v = load(spark, sf, "embeddings")
+    q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    wide = knn.nearest_batch(v, q, 3 * K)
+    best_ = bm25.top(wide.select("query_id", "vec_id", r6(F.col("score")).alias("score")), K, "query_id", tie="vec_id")
+    return best_.select("query_id", "vec_id", "score", "rank")
+
+
+@query("select vec_id, round(case when vec_id % 3 = 0 then -embedding[1] else embedding[1] end, 6)::double first_value, case when vec_id % 3 = 0 then 99 else label end::integer label from embeddings union all select vec_id + 1000000, round(embedding[2], 6)::double, label from embeddings where vec_id % 7 = 0")
+def vector_upsert(spark, sf):
+    v = load(spark, sf, "embeddings")
+    changed = v.where("vec_id % 3 = 0").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"), F.lit(99).alias("label"))
+    new = v.where("vec_id % 7 = 0").select((F.col("vec_id") + 1000000).alias("vec_id"), F.slice("embedding", 2, 63).alias("embedding"), "label")
+    out = upsert(v, changed.union(new), "vec_id")
+    return out.select("vec_id", F.round(F.get("embedding", F.lit(0)), 6).cast("double").alias("first_value"), "label")
+
+
+# -- fusion: BM25 over doc_id and nearest vectors over vec_id share one id
+
+FETCH = max(2 * K, 20)
+
+
+def _fused(spark, sf, ids: tuple[list[str], list[int]] | None = None) -> DataFrame:
+    n = load(spark, sf, "embeddings").count()
+    x = corpus(spark, sf)
+    scored = compiler.search(x, read("thing inth")).where(F.col("chunk_id") < n)
+    v = load(spark, sf, "embeddings")
+    if ids:
+        scored = scored.join(x.chunks.where(F.col("source_id").isin(ids[0])).select("chunk_id"), "chunk_id", "left_semi")
+        v = v.where(F.col("label").isin(ids[1]))
+    a = bm25.top(scored, FETCH).select(F.col("chunk_id").alias("id"), "score", "rank", F.lit("bm25").alias("origin"))
+    b = knn.nearest(v, _query_vector(spark, sf), FETCH).select(F.col("vec_id").alias("id"), "score", "rank", F.lit("vector").alias("origin"))
+    return fusion.fuse([a, b], K, "id").select("id", "origin", r6(F.col("score")).alias("score"), "rank")
+
+
+def _fused_sql(where_a: str = "true", where_b: str = "true") -> str:
+    return f"""with {IDX}, {leaf('a0', {'thing': 1, 'inth': 1})},
+a as (select a0.doc_id id, row_number() over (order by s desc, a0.doc_id) rank, 'bm25' origin, 0 src from a0 join documents d on d.doc_id = a0.doc_id where a0.doc_id < (select count(*) from embeddings) and {where_a} order by rank limit {FETCH}),
+b as (select v.vec_id id, row_number() over (order by round(1 - {D2} / 2, 9) desc, v.vec_id) rank, 'vector' origin, 1 src from embeddings v, (select embedding from embeddings where vec_id = 7) q where {where_b} order by rank limit {FETCH}),
+u as (select * from a union all select * from b),
+f as (select id, sum(1.0::double / (60 + rank)) s, min(src * 1000 + rank) place, arg_min(origin, src * 1000 + rank) origin from u group by id)
+select id, origin, round(s, 6) score, row_number() over (order by round(s, 12) desc, place)::integer rank from f order by rank limit {K}"""
+
+
+@query(_fused_sql())
+def hybrid_search(spark, sf):
+    return _fused(spark, sf)
+
+
+@query(_fused_sql("d.source in ('src3', 'src7')", "v.label in (1, 4)"))
+def hybrid_source_filter(spark, sf):
+    return _fused(spark, sf, (["src3", "src7"], [1, 4]))
+
+
+@query("""with a as (select doc_id::varchar document_id, row_number() over (order by n_chars desc, doc_id) rank, 0 src from documents order by rank limit 30),
+b as (select doc_id::varchar document_id, row_number() over (order by n_chars desc, doc_id desc) rank, 1 src from documents where doc_id % 2 = 0 order by rank limit 30),
+f as (select document_id, sum(1.0::double / (60 + rank)) s, min(src * 1000 + rank) place from (from a union all from b) group by document_id)
+select document_id, round(s, 6) score, row_number() over (order by round(s, 12) desc, place)::integer rank from f order by rank limit 20""")
+def rrf_fusion(spark, sf):
+    d = docs(spark, sf).select("doc_id", F.col("n_chars").cast("double").alias("score"))
+    a = bm25.top(d, 30, tie="doc_id")
+    flipped = d.where("doc_id % 2 = 0").withColumn("neg", -F.col("doc_id"))
+    b = bm25.top(flipped, 30, tie="neg").drop("neg")
+    lists = [x.select(F.col("doc_id").cast("string").alias("document_id"), "score", "rank") for x in (a, b)]
+    return fusion.fuse(lists, 20).select("document_id", r6(F.col("score")).alias("score"), "rank")
+
+
+@query(f"""with {IDX}, {leaf('l', {'thing': 1})}, b as ({best('l')})
+select doc_id, printf('Result %d (Score: %.4f)', rank, score) || chr(10) || 'Source ID: ' || source || chr(10) || repeat('-', 60) line from b join documents using (doc_id)""")
+def result_projection_formatted(spark, sf):
+    best_ = _text_query("thing")(spark, sf)
+    rows = docs(spark, sf).select("doc_id", "source").join(F.broadcast(best_), "doc_id")  # k rows
+    line = F.format_string("Result %d (Score: %.4f)\nSource ID: %s\n%s", "rank", "score", "source", F.repeat(F.lit("-"), F.lit(60)))
+    return rows.select("doc_id", line.alias("line"))
+
+
+@query()
+def deterministic_embed(spark, sf):
+    d = docs(spark, sf).select("doc_id", embedded(F.col("text"), HashEmbedder()).alias("v"))
+    return d.select("doc_id", "v", r6(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))).alias("norm"))
