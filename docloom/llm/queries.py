@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, html, mixing, quality, simhash, sketch, substrings
+from . import chat, classifier, html, lines, mixing, quality, simhash, sketch, substrings
 from .common import table
 from .oracles import ORACLES
 
@@ -22,6 +22,16 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.extract(table(spark, sf_dir, "pages"), "page_id", "url")
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = lines.by_document(docs).withColumnRenamed("doc_id", "d")
+    rows = docs.select("doc_id", F.size(lines.split_lines(F.col("text"))).cast("bigint").alias("n_lines"))
+    rows = rows.join(found, F.col("doc_id") == F.col("d"), "left")
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
+    pairs = F.transform(F.arrays_zip("gone", "partners"), lambda x: F.concat_ws(">", x["gone"].cast("string"), x["partners"]))
+    return rows.select("doc_id", "n_lines", zero("n_removed"), zero("n_links"), F.coalesce(F.array_join(pairs, ","), F.lit("")).alias("removed"))
+
+
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classifier.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -50,5 +60,5 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.outliers(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_scaled_fingerprints, op2_html_main_text, op4_quality_classifier, op5_chat_formatting, op6_simhash_near_duplicates, op7_mix_sources, op8_substring_dedup, op10_quality_rules)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_scaled_fingerprints, op2_html_main_text, op3_line_dedup, op4_quality_classifier, op5_chat_formatting, op6_simhash_near_duplicates, op7_mix_sources, op8_substring_dedup, op10_quality_rules)}
 SQL: dict[str, str] = {k: v for k, v in ORACLES.items() if k in QUERIES}
