@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -40,12 +41,33 @@ def shared_dir(spark: SparkSession) -> str:
     return at
 
 
+@contextmanager
+def settings(spark: SparkSession, wanted: dict[str, str]):
+    """SQL settings for a block, put back after it."""
+    before = {k: spark.conf.get(k, None) for k in wanted}
+    try:
+        for k, v in wanted.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
+#: Delete a query's shuffle files when it ends, not when the driver collects garbage.
+CLEAN = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write df to the shared folder and read it back: cuts lineage, survives the loss of
     executors, and lets Catalyst see its true size."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/docloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    with settings(spark, CLEAN):
+        df.write.option("compression", "zstd").parquet(path)
     _made.append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
