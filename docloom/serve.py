@@ -59,14 +59,15 @@ class Server:
         for line in lines:
             if not line.strip():
                 continue
+            request: dict[str, Any] = {"id": None}
             try:
                 request = json.loads(line)
                 reply = {"result": self.answer(request)}
             except KeyError as e:
                 reply = {"error": {"code": -32601, "message": str(e)}}
             except ValueError as e:
-                request, reply = {}, {"error": {"code": -32700, "message": str(e)}}
-            if "id" not in request and "error" not in reply:
+                reply = {"error": {"code": -32700, "message": str(e)}}
+            if "id" not in request:
                 continue  # a notification
             print(json.dumps({"jsonrpc": "2.0", "id": request.get("id")} | reply, ensure_ascii=False), file=out, flush=True)
         print("input ended", file=sys.stderr)
