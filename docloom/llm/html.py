@@ -94,10 +94,10 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             pos = end.end() if end else size
             continue
         if skip:
-            if name == skip and name not in VOID:
-                depth += -1 if closing else 1
-            elif skip == "p" and name in BLOCKS:
+            if skip == "p" and name in BLOCKS and not (closing and name == "p"):
                 depth, pos = 0, m.start()  # a paragraph ends where another block begins or its parent ends
+            elif name == skip and name not in VOID:
+                depth += -1 if closing else 1
             elif name in ARTICLE and not closing and not page.find(f"</{skip}", pos) + 1:
                 depth, pos = 0, m.start()  # it is never closed: the article isn't part of it
             if depth <= 0:
