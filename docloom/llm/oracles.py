@@ -153,4 +153,17 @@ select d.doc_id, cast(len(string_split(coalesce(text, ''), chr(10))) as bigint)
 from documents d left join per on d.doc_id = per.doc_id
 """
 
-ORACLES = {"op3_line_dedup": OP3, "op5_chat_formatting": OP5, "op7_mix_sources": OP7, "op10_quality_rules": _quality()}
+OP8 = rf"""
+with w as materialized (select doc_id, {WORDS} ws from documents),
+win as materialized (
+  select doc_id, i, md5(array_to_string(ws[i:i + 49], ' ')) h from (select doc_id, ws, unnest(range(1, len(ws) - 48)) i from w where len(ws) >= 50)),
+early as (select h, min(doc_id) first_ from win group by h having count(distinct doc_id) > 1),
+gone as (
+  select win.doc_id, list_distinct(flatten(list(range(i, i + 50)))) at_ from win join early on win.h = early.h where win.doc_id > first_ group by win.doc_id),
+kept as (
+  select w.doc_id, ws, case when at_ is null then ws else list_transform(list_sort(list_filter(range(1, len(ws) + 1), lambda k: not list_contains(at_, k))), lambda k: ws[k]) end left_
+  from w left join gone on w.doc_id = gone.doc_id)
+select doc_id, cast(len(ws) as bigint) n_words, cast(len(ws) - len(left_) as bigint) n_removed, sha256(array_to_string(left_, ' ')) kept_sha256 from kept
+"""
+
+ORACLES = {"op8_substring_dedup": OP8, "op3_line_dedup": OP3, "op5_chat_formatting": OP5, "op7_mix_sources": OP7, "op10_quality_rules": _quality()}
