@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -67,9 +69,10 @@ def chunks_of(text: Column, path: Column) -> Column:
     return F.when(is_markdown(path), F.transform(sections(text), lambda s: s["content"])).otherwise(paragraphs(text))
 
 
-def chunk_files(files: DataFrame) -> DataFrame:
-    """(path, content) -> one row per chunk, with the names an index keeps."""
-    rows = files.select("path", F.posexplode(chunks_of(F.col("content"), F.col("path"))).alias("pos", "content"))
+def chunk_files(files: DataFrame, chunker: Callable[[Column, Column], Column] = chunks_of) -> DataFrame:
+    """(path, content) -> one row per chunk, with the names an index keeps. A chunker makes an
+    array<string> of (text, path)."""
+    rows = files.select("path", F.posexplode(chunker(F.col("content"), F.col("path"))).alias("pos", "content"))
     rows = rows.where(~is_blank(F.col("content")))
     number = (F.col("pos") + 1).alias("chunk_number")
     return rows.select(basename(F.col("path")).alias("source_file"), F.col("path").alias("source_path"), stem(F.col("path")).alias("source_id"), number, "content").withColumn(

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..functions.embed import Embedder, HashEmbedder, embedded
 from ..functions.text import STANDARD
 from ..operators import bm25, fusion, knn, postings
-from ..operators.chunking import chunk_files
+from ..operators.chunking import chunk_files, chunks_of
 from ..operators.upsert import upsert
 from ..sources import files
 from . import compile as compiler
@@ -47,9 +47,10 @@ class Summary:
 
 
 class Engine:
-    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, pattern: str = STANDARD, length_norm: str = "exact", score_source_filter: bool = False):
+    def __init__(self, spark: SparkSession, path: str, embedder: Embedder | None = None, pattern: str = STANDARD, length_norm: str = "exact", score_source_filter: bool = False, chunker=chunks_of, reranker=fusion.fuse):
         self.spark, self.path, self.embedder = spark, path, embedder or HashEmbedder()
         self.pattern, self.length_norm, self.scored = pattern, length_norm, score_source_filter
+        self.chunker, self.reranker = chunker, reranker  # (text, path) -> array<string>; ([ranked frames], k) -> ranked frame
 
     # -- files of the index
 
@@ -129,7 +130,7 @@ class Engine:
         if not os.path.isfile(path):
             raise FileNotFoundError(f"Content file not found: {path}")
         files.reader_of(path)
-        return self.ingest_chunks(chunk_files(files.read_files(self.spark, [path])), vectors, mode)
+        return self.ingest_chunks(chunk_files(files.read_files(self.spark, [path]), self.chunker), vectors, mode)
 
     def ingest_folder(self, folder: str, vectors: bool = True, mode: str = "append") -> Summary:
         """All readable files at any depth; one that can't be read doesn't stop the others."""
@@ -143,7 +144,7 @@ class Engine:
                 bad.append(p)
         if not paths:
             return Summary(0, 0, [], bad)
-        chunks = chunk_files(files.read_files(self.spark, paths))
+        chunks = chunk_files(files.read_files(self.spark, paths), self.chunker)
         n = self.ingest_chunks(chunks, vectors, mode)
         used = {r[0] for r in self._read("chunks").select("source_path").distinct().collect()}  # names of the files listed here
         return Summary(len(paths), n, [p for p in paths if p not in used], bad)
@@ -187,7 +188,7 @@ class Engine:
 
     def hybrid(self, query: str, k: int = 10, source_ids: Iterable[str] | None = None) -> DataFrame:
         fetch, ids = max(2 * k, 20), list(source_ids or [])
-        out = fusion.fuse([self.bm25(query, fetch, ids), self.vector(query, fetch, ids)], k)
+        out = self.reranker([self.bm25(query, fetch, ids), self.vector(query, fetch, ids)], k)
         return out.select("rank", *RESULT, "chunk_id").orderBy("rank")
 
     def search(self, query: str, mode: SearchMode = SearchMode.BM25, k: int = 10, source_ids: Iterable[str] | None = None) -> DataFrame:

@@ -23,7 +23,7 @@ def follow(engine: Engine, folder: str, checkpoint: str, vectors: bool = True) -
 
     def add(batch: DataFrame, _: int) -> None:
         if not batch.isEmpty():
-            engine.ingest_chunks(chunk_files(batch), vectors, "replace")
+            engine.ingest_chunks(chunk_files(batch, engine.chunker), vectors, "replace")
 
     stream = new_files(engine.spark, folder).writeStream.foreachBatch(add)
     stream.option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
