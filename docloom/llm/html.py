@@ -33,7 +33,7 @@ DROPPED = frozenset("aside audio button canvas datalist dialog embed fieldset fo
 RAW = frozenset("script style textarea title xmp".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(["article", "main"])
-HINTS = frozenset("ad ads adv advert advertisement advertising adverts adsense banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice pager pagination paywall popup popover promo promotion recommended related reply replies respond share sharing sidebar signup social sponsor sponsored subscribe subscription tagcloud tags toolbar widget".split())
+HINTS = frozenset("ad ads adsbygoogle adv advert advertisement advertising adverts adsense alert banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain pager pagination paywall popup popover promo promotion recommended related reply replies respond responses share sharing sidebar signup social sponsor sponsored subscribe subscription taboola tagcloud tags toolbar topbar topnav widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
@@ -56,6 +56,8 @@ def unwanted(name: str, attributes: str, in_article: bool) -> bool:
     if re.search(r"(?:^|\s)hidden(?:\s|/|=|$)", attributes):
         return True
     parts = {p.lower() for p in PART.findall(found.get("class", "") + " " + found.get("id", ""))}
+    if "header" in parts and not in_article and name not in ARTICLE:
+        return True
     return bool(parts & HINTS) and not (name in ARTICLE and "comment" not in parts and "comments" not in parts and "reply" not in parts)
 
 
