@@ -27,6 +27,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -47,13 +48,15 @@ BLOCK = 1 << 19
 
 @dataclass
 class Model:
-    """Pieces by text, texts by id, the first byte piece, and the kind of model."""
+    """Pieces by text, texts by id, the first byte piece, the kind of model, and all pairs of
+    neighbours within pieces: a unit falls apart where its neighbours are no such pair."""
 
     scores: dict[str, tuple[float, int]]
     raw: list[bytes]
     byte0: int
     bpe: bool
     longest: int
+    pairs: frozenset[str]
 
     @classmethod
     def load(cls, path: str = MODEL) -> Model:
@@ -68,7 +71,7 @@ class Model:
         byte0 = next(i for i, p in enumerate(proto.pieces) if p.type == kinds.BYTE)
         if any(MARK in p.lstrip(MARK) or "\n" in p for p in plain):
             raise ValueError("pieces of this model cross words; they can't be encoded by unit")
-        return cls(plain, raw, byte0, proto.trainer_spec.model_type == pb.TrainerSpec.BPE, max(map(len, plain)))
+        return cls(plain, raw, byte0, proto.trainer_spec.model_type == pb.TrainerSpec.BPE, max(map(len, plain)), frozenset(p[i : i + 2] for p in plain for i in range(len(p) - 1)))
 
     def table(self, spark: SparkSession) -> DataFrame:
         """(piece, score, id): a row for each piece."""
@@ -86,6 +89,21 @@ class Model:
         return out
 
     def _merged(self, unit: str) -> list[int]:
+        if len(unit) > 24:
+            return self._merged_long(unit)
+        parts, scores = list(unit), self.scores
+        while len(parts) > 1:
+            best, at = None, -1
+            for i in range(len(parts) - 1):
+                got = scores.get(parts[i] + parts[i + 1])
+                if got and (best is None or got[0] > best):
+                    best, at = got[0], i
+            if at < 0:
+                break
+            parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        return list(accumulate(map(len, parts)))
+
+    def _merged_long(self, unit: str) -> list[int]:
         n, scores = len(unit), self.scores
         after, before = list(range(1, n + 1)), list(range(-1, n))
         heap = [(-s[0], i, i + 2) for i in range(n - 1) if (s := scores.get(unit[i : i + 2]))]
@@ -250,6 +268,11 @@ class _Known(dict):
         self.model, self.room = model, 1 << 18
 
     def __missing__(self, unit: str) -> bytes:
+        if len(unit) > 1 and unit[-2:] not in self.model.pairs:
+            cut = len(unit) - 1
+            while cut > 1 and unit[cut - 2 : cut] not in self.model.pairs and unit[cut - 1] == unit[-1]:
+                cut -= 1
+            return self[unit[:cut]] + b"".join(self[c] for c in unit[cut:])
         ids = np.asarray(self.model.fold(unit), np.int32).tobytes()
         if self.room:
             self.room -= 1

@@ -368,8 +368,14 @@ def test_folds(spark):
     units = ["▁hello", "▁", "▁▁▁a", "🙂x", "\n", "▁thanea.", "ü", "▁aaaaaaaaaaa"]
     df = spark.createDataFrame([(u,) for u in units], "unit string")
     for bpe in (True, False):
-        one = pieces.Model(m.scores, m.raw, m.byte0, bpe, m.longest)
+        one = pieces.Model(m.scores, m.raw, m.byte0, bpe, m.longest, m.pairs)
         assert {r.unit: r.ids for r in pieces.encoded_units(df, one).collect()} == {u: one.fold(u) for u in units}
+    rng, known = random.Random(1), pieces._Known({}, m)
+    for n in (1, 2, 5, 12, 30, 80):
+        for _ in range(40):
+            u = "".join(rng.choice("▁aeiorntshl.,!#1é🙂") for _ in range(n))
+            assert m._merged(u) == m._merged_long(u)
+            assert known[u] == pieces.np.asarray(m.fold(u), "int32").tobytes()
     small = pieces.dictionary(spark.createDataFrame([("a b a b c",)], "text string"), m, most=2)
     assert len(small) <= 2
 
