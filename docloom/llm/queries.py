@@ -12,6 +12,8 @@ from .common import table
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
+#: Fewest words of a line in the SQL of op3_line_dedup, which leaves out shorter ones.
+OP3_LEAST = 5
 
 
 def op1_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -24,7 +26,7 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    found = lines.by_document(docs).withColumnRenamed("doc_id", "d")
+    found = lines.by_document(docs, OP3_LEAST).withColumnRenamed("doc_id", "d")
     rows = docs.select("doc_id", F.size(lines.split_lines(F.col("text"))).cast("bigint").alias("n_lines"))
     rows = rows.join(found, F.col("doc_id") == F.col("d"), "left")
     zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
