@@ -3,9 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from itertools import islice
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,11 +39,27 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id")
 
 
 def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", most: int = 10_000) -> DataFrame:
-    """queries(query_id, embedding), at most `most` -> query_id, key, score, rank. Blocks of
-    vectors meet the query matrix in one product; each block passes on its k best a query."""
-    got = queries.select("query_id", "embedding").limit(most + 1).toPandas().sort_values("query_id")
-    if len(got) > most:
-        raise ValueError(f"more than {most} queries; search in several batches")
+    """queries(query_id, embedding) -> query_id, key, score, rank. Up to `most` queries are one
+    matrix on the driver; of more, such blocks are searched for one after the other, and only one
+    is held at a time."""
+    queries = queries.select("query_id", "embedding")
+    kind = dict(queries.dtypes)["query_id"]
+    got = queries.limit(most + 1).toPandas()
+    if len(got) <= most:
+        return _nearest_block(vectors, got.sort_values("query_id"), kind, k, key)[0]
+    del got
+    rows, parts = queries.toLocalIterator(), []
+    while block := list(islice(rows, most)):
+        found, shared = _nearest_block(vectors, pd.DataFrame(block, columns=["query_id", "embedding"]), kind, k, key)
+        stored = found.checkpoint() if vectors.sparkSession.sparkContext.getCheckpointDir() else found.localCheckpoint()
+        parts.append(stored.drop("rank"))
+        shared.destroy()
+    return top(reduce(DataFrame.union, parts), k, "query_id", tie=key)
+
+
+def _nearest_block(vectors: DataFrame, got: pd.DataFrame, qkind: str, k: int, key: str) -> tuple[DataFrame, Broadcast]:
+    """The k best of each query, and the broadcast they are computed from. Blocks of vectors
+    meet the query matrix in one product; each block passes on its k best a query."""
     ids = got["query_id"].to_numpy()
     matrix = np.stack(got["embedding"].map(np.asarray).tolist()).astype(np.float64) if len(got) else np.zeros((0, 1))
     shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, (matrix * matrix).sum(axis=1)))
@@ -58,5 +78,4 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "ve
                 exact = 1 - ((v[at] - q[i]) ** 2).sum(axis=1) / 2
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[i])), pa.array(keys[at]), pa.array(exact)], ["query_id", key, "score"])
 
-    qkind = dict(queries.dtypes)["query_id"]
-    return top(vectors.select(key, "embedding").mapInArrow(run, f"query_id {qkind}, {key} {kind}, score double"), k, "query_id", tie=key)
+    return top(vectors.select(key, "embedding").mapInArrow(run, f"query_id {qkind}, {key} {kind}, score double"), k, "query_id", tie=key), shared
