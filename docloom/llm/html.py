@@ -5,8 +5,11 @@ of an article (scripts, forms, navigation, and what tags, roles or class names m
 advert, notice, sidebar, reader comments and so on) leave a gap of empty lines. A line's
 weight is its text outside links; sums of weights over sliding windows of `WINDOW` lines
 rise at a surge point where text begins and are zero at the dive point after it. Text between
-the two is kept, for the region with most text and those that come near it; where the page
-says which part is its article, all regions of that part, and only they, are kept.
+the two is kept: where the page says which part is its article, all regions of that part, and
+only they; elsewhere all from the first surge to the last dive of the main container, the
+innermost one that holds the region with most text and those that come near it. Gaps of
+elements that were dropped inside that container are no boundary there. Without any container
+but the page itself, only a list of links parts its regions.
 
 Defined results: null or empty html gives an empty text; broken markup never fails (an element
 that isn't closed ends with its parent or the page); extra columns are ignored.
@@ -15,6 +18,7 @@ that isn't closed ends with its parent or the page); extra columns are ignored.
 from __future__ import annotations
 
 import html
+import os
 import re
 from collections.abc import Iterator
 
@@ -24,7 +28,7 @@ from pyspark.sql import DataFrame
 WINDOW = 3
 #: A surge is a window of at least so many characters, or of the page's largest if that is less.
 SURGE = 60
-#: A region is kept if it has this share of the largest region's text.
+#: A region is part of the main container if it has this share of the largest region's text.
 SHARE = 0.3
 
 #: Names of the HTML standard, and of common markup.
@@ -33,6 +37,7 @@ DROPPED = frozenset("aside audio button canvas datalist dialog embed fieldset fo
 RAW = frozenset("script style textarea title xmp".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(["article", "main"])
+CONTAINERS = frozenset(["center", "div"])
 HINTS = frozenset("ad ads adsbygoogle adv advert advertisement advertising adverts adsense alert banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain pager pagination paywall popup popover promo promotion recommended related reply replies respond responses share sharing sidebar signup social sponsor sponsored subscribe subscription taboola tagcloud tags toolbar topbar topnav widget".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
@@ -61,12 +66,15 @@ def unwanted(name: str, attributes: str, in_article: bool) -> bool:
     return bool(parts & HINTS) and not (name in ARTICLE and "comment" not in parts and "comments" not in parts and "reply" not in parts)
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool]]:
-    """Blocks of the page as (text, characters outside links, inside the article); gaps are empty."""
-    out: list[tuple[str, int, bool]] = []
+def lines_of(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
+    """Blocks of the page as (text, characters outside links, inside the article, containers from
+    the outermost on); gaps are empty."""
+    out: list[tuple[str, int, bool, tuple[int, ...]]] = []
+    within: tuple[int, ...] = ()
+    names: list[str] = []
+    made = 0
     text: list[tuple[str, bool]] = []
     link = article = 0
-    gap = [("", 0, False)] * WINDOW
     skip, depth, at = "", 0, 0  # the element that is dropped, and how many of its name are open
 
     def flush() -> None:
@@ -74,7 +82,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             whole = " ".join(html.unescape("".join(t for t, _ in text)).split())
             if whole:
                 plain = " ".join(html.unescape("".join(t for t, a in text if not a)).split())
-                out.append((whole, len(plain), article > 0))
+                out.append((whole, len(plain), article > 0, within))
             text.clear()
 
     pos, size = 0, len(page)
@@ -107,7 +115,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             continue
         if not closing and unwanted(name, attributes, article > 0):
             flush()
-            out.extend(gap)
+            out.extend([("", 0, False, within)] * WINDOW)
             if name not in VOID and not attributes.endswith("/"):
                 skip, depth = name, 1
             continue
@@ -117,17 +125,24 @@ def lines_of(page: str) -> list[tuple[str, int, bool]]:
             text.append((" ", link > 0))
         if name in ARTICLE:
             if article + (1 if not closing else -1) in (0, 1):
-                out.extend(gap)
+                out.extend([("", 0, False, within)] * WINDOW)
             article = max(0, article + (-1 if closing else 1))
         elif name == "a":
             link = 0 if closing else 1
+        elif name in CONTAINERS:
+            if not closing:
+                made += 1
+                within, names = (*within, made), [*names, name]
+            elif name in names:  # what is open inside it ends too
+                last = len(names) - 1 - names[::-1].index(name)
+                within, names = within[:last], names[:last]
     flush()
     return out
 
 
-def regions(lines: list[tuple[str, int, bool]]) -> list[tuple[int, int]]:
+def regions(lines: list[tuple[str, int, bool, tuple[int, ...]]]) -> list[tuple[int, int]]:
     """[surge, dive) points: runs of lines whose windows have text, of which one has enough."""
-    weights = [n for _, n, _ in lines]
+    weights = [x[1] for x in lines]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
     if not (most := max(sums, default=0)):
         return []
@@ -150,19 +165,42 @@ def regions(lines: list[tuple[str, int, bool]]) -> list[tuple[int, int]]:
     return found
 
 
+def container(lines: list[tuple[str, int, bool, tuple[int, ...]]], near: list[int]) -> tuple[int, ...]:
+    """The innermost container of these lines that has another line of text, if any has."""
+    found = os.path.commonprefix([lines[i][3] for i in near])
+    while found and sum(x[1] > 0 and x[3][: len(found)] == found for x in lines) < 2:
+        found = found[:-1]
+    return tuple(found)
+
+
+def unmarked(lines: list[tuple[str, int, bool, tuple[int, ...]]], spans: list[tuple[int, int]]) -> list[int]:
+    """Places of the lines to keep on a page that marks no article."""
+
+    def large(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
+        totals = [sum(x[1] for x in lines[a:b]) for a, b in spans]
+        return [s for s, n in zip(spans, totals) if n >= SHARE * max(totals)]
+
+    near = [i for a, b in large(spans) for i in range(a, b)]
+    inside = container(lines, [i for i in near if lines[i][1]])
+    own = [i for i, x in enumerate(lines) if x[0] and x[3][: len(inside)] == inside]  # its gaps are left out
+    again = [(own[a], own[b - 1] + 1) for a, b in regions([lines[i] for i in own])]
+    if again:
+        again = [(again[0][0], again[-1][1])] if inside else large(again)
+    return sorted({*near, *(i for a, b in again for i in own if a <= i < b)})
+
+
 def main_text(page: str | None) -> str:
     """The article's blocks, joined by an empty line."""
     lines = lines_of(page or "")
     marked = any(x[2] for x in lines)
     if marked:
-        lines = [x if x[2] else ("", 0, False) for x in lines]
+        lines = [x if x[2] else ("", 0, False, x[3]) for x in lines]
     spans = regions(lines)
-    totals = [sum(x[1] for x in lines[a:b]) for a, b in spans]
     if marked:  # all from its first surge to its last dive, and short blocks apart from these
         low, high = (spans[0][0], spans[-1][1]) if spans else (0, len(lines))
         at = [i for i, x in enumerate(lines) if low <= i < high or x[1]]
     else:
-        at = [i for (a, b), n in zip(spans, totals) if n >= SHARE * max(totals) for i in range(a, b)]
+        at = unmarked(lines, spans) if spans else []
     return "\n\n".join(lines[i][0] for i in at if lines[i][0])
 
 

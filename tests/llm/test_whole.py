@@ -2,11 +2,31 @@
 
 from pyspark.sql import functions as F
 
-from docloom.llm import lines
+from docloom.llm import html, lines
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+# -- html
+
+
+def test_dropped_elements_split_no_unmarked_article():
+    body, closing = [f"Sentence {i} of the body. " * 40 for i in range(3)], "The closing part of the article. " * 15
+    page = f"""<body><div class=top><p>{'A blurb of the site, on each of its pages. ' * 2}</p></div><nav><a href=1>Home</a></nav>
+    <div id=text><h1>A title</h1><p>A lead of some words.</p><div class=byline>By Someone</div><p>{body[0]}</p><p>{body[1]}</p>
+    <div class=share>Share this</div><p>Short part.</p><form>Newsletter <input></form><p>{body[2]}</p><div class=advert>Buy</div><p>{closing}</p></div>
+    <aside>More</aside><div><p>Small print.</p></div></body>"""
+    parts = ["A title", "A lead of some words.", body[0], body[1], "Short part.", body[2], closing]
+    assert html.main_text(page) == "\n\n".join(x.strip() for x in parts)
+    assert html.main_text(page.replace(" id=text", " id=text><div").replace("<aside>", "</div><aside>")) == html.main_text(page)
+
+
+def test_unmarked_article_of_one_block_and_a_closing_part():
+    body, closing = "One long block of text. " * 90, "It ends here. " * 10
+    page = f"<div><div>{body}</div><div class=ad>Buy</div><div>{closing}</div></div>"
+    assert html.main_text(page) == f"{body.strip()}\n\n{closing.strip()}"
+
+
 # -- lines
 
 
