@@ -93,7 +93,8 @@ class Engine:
         had = {k: self._manifest().get(k, []) for k in ("chunks", "postings")}
         old, old_postings = self._read("chunks"), self._read("postings")
         new = chunks.select(*FACTS)
-        first = 0 if old is None else (old.agg(F.max("chunk_id")).first()[0] or -1) + 1
+        last = None if old is None else old.agg(F.max("chunk_id")).first()[0]
+        first = 0 if last is None else last + 1
         # ids follow path and number: sorted in ranges, numbered by the ranges' offsets
         ordered = new.repartitionByRange("source_path", "chunk_number").sortWithinPartitions("source_path", "chunk_number")
         ordered = ordered.withColumn("_p", F.spark_partition_id()).withColumn("_i", F.monotonically_increasing_id())
@@ -118,9 +119,11 @@ class Engine:
         every = load("postings").groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("sum_len"))
         at["stats"] = [self._write(load("chunks").agg(F.count("*").alias("n_chunks")).join(every).coalesce(1), "stats")]
         if vectors:
-            fresh = stored.withColumn("key", F.concat_ws("_", "source_id", "chunk_number"))
+            key = F.struct("source_path", "source_id", "chunk_number")
+            fresh = stored.withColumn("key", key)
             fresh = fresh.withColumn("embedding", embedded(F.col("content"), self.embedder))
             known = self._read("vectors")
+            known = known.withColumn("key", key) if known is not None else None
             at["vectors"] = [self._write(upsert(known, fresh, "key") if known is not None else fresh.dropDuplicates(["key"]), "vectors")]
         self._swap(**at)
         shutil.rmtree(os.path.join(self.path, staging), ignore_errors=True)
