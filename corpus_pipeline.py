@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from docloom.llm import lines, mixing, pieces, quality, simhash
-from docloom.llm.common import materialize, table
+from docloom.llm.common import keyed, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,18 +27,19 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates stays: that of smallest doc_id, once.
-    Rows without a doc_id can't be told apart, and go."""
-    names = docs.columns
-    found = simhash.linked(docs.select("doc_id", "text"))
-    kept = found.where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select(*names)
+    """One document of each group of near-duplicates stays: that of smallest doc_id, once. Rows
+    without a doc_id come last in this; of rows that share one, hashes of their columns decide."""
+    rows = keyed(docs)
+    found = simhash.linked(rows.select(F.col("_key").alias("doc_id"), "text"))
+    kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
+    return rows.join(kept, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them."""
-    copies = mixing.mix(docs).where("copies > 0").select(F.col("doc_id").alias("_doc"), "copies").dropDuplicates(["_doc"])
-    rows = docs.join(copies, F.col("doc_id") == F.col("_doc"))
+    """Documents as often as the mix takes them; each row has copies of its own."""
+    rows = keyed(docs).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")))
+    copies = mixing.mix(rows, keep=("_key", "_nth")).where("copies > 0").select(F.col("_key").alias("_doc"), F.col("_nth").alias("_at"), "copies")
+    rows = rows.join(copies, F.col("_key").eqNullSafe(F.col("_doc")) & (F.col("_nth") == F.col("_at")))
     return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*docs.columns)
 
 

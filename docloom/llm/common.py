@@ -31,6 +31,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def keyed(docs: DataFrame) -> DataFrame:
+    """docs -> its columns, _key, _n: a row for each different one, told from all others by _key,
+    with how often it is there. The key is the doc_id where each row has its own; else the doc_id
+    (null comes last) with two hashes of all columns."""
+    shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    if shared.isEmpty():
+        return docs.withColumns({"_key": F.col("doc_id"), "_n": F.lit(1).cast("bigint")})
+    marks = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+    key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *(F.xxhash64(F.lit(seed), *marks).alias(k) for seed, k in ((1, "x"), (2, "y"))))
+    rows = docs.withColumn("_key", key).groupBy("_key").agg(*(F.first(c).alias(c) for c in docs.columns), F.count("*").alias("_n"))
+    return materialize(rows.select(*docs.columns, "_key", "_n"), "keyed")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share: spark.checkpoint.dir, else one made for this session."""
     at = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()

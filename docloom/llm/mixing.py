@@ -92,11 +92,13 @@ def _cut_bin(rows: DataFrame, per_source: DataFrame, number: Column) -> DataFram
     return kept.select("source", "need", b.cast("int").alias("b"), F.coalesce("cut.at", "start").alias("start"))
 
 
-def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, tilt: int = TILT) -> DataFrame:
-    """documents(doc_id, text, source) -> doc_id, source, size, source_size, target, copies, taken;
-    one row for each row of the input."""
+def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, tilt: int = TILT, keep: tuple[str, ...] = ()) -> DataFrame:
+    """documents(doc_id, text, source) -> doc_id, source, size, source_size, target, copies, taken,
+    and the kept columns; one row for each row of the input. Kept columns tell rows apart where
+    the doc_id doesn't: rows of one rank then have fates of their own, and a null doc_id is hashed
+    as what they hold."""
     n = F.size(words(F.col("text"))).cast("bigint")
-    sized = materialize(docs.select("doc_id", "source", n.alias("size")), "sizes")
+    sized = materialize(docs.select("doc_id", "source", *keep, n.alias("size")), "sizes")
     k = F.when(F.col("size") > 0, F.length(F.bin("size"))).otherwise(0)
     sized = sized.withColumn("k", k)
     per_class = materialize(sized.groupBy("source", "k").agg(F.sum("size").alias("words")), "classes")
@@ -106,12 +108,12 @@ def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, til
     need = F.first("target") - F.sum(F.col("whole") * F.col("words"))
     per_source = per_class.groupBy("source").agg(F.first("source_size").alias("source_size"), F.first("target").alias("target"), need.alias("need"))
 
-    u, p = uniform(F.col("doc_id")), F.col("p")
+    u, p = uniform(F.coalesce("doc_id", F.xxhash64(*keep)) if keep else F.col("doc_id")), F.col("p")
     q = (u / (1 - u)) / (p / (1 - p))
     plan = per_class.select(F.col("source").alias("s"), F.col("k").alias("c"), "whole", "p")
     ranked = sized.join(plan, F.col("source").eqNullSafe(F.col("s")) & (F.col("k") == F.col("c"))).drop("s", "c")
     ranked = ranked.withColumn("t", F.when(p > 0, q / (1 + q)))
-    ranked = materialize(ranked.select("doc_id", "source", "size", "whole", "t"), "ranks")
+    ranked = materialize(ranked.select("doc_id", "source", *keep, "size", "whole", "t"), "ranks")
 
     entering = ranked.where(F.col("t").isNotNull())
     first = F.floor(F.col("t") * BINS)
@@ -122,7 +124,7 @@ def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, til
     cut2 = materialize(_cut_bin(inside.drop("need", "start", "b"), cut1.select("source", "need", "start"), second), "cut")
     at2 = cut2.select(F.col("source").alias("s"), "need", F.col("b").alias("b2"), F.col("start").alias("start2"))
     inside = inside.drop("need", "start").join(at2, F.col("source").eqNullSafe(F.col("s")) & (second == F.col("b2"))).drop("s")
-    place = F.struct("t", F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc_id"), "size")
+    place = F.struct("t", F.coalesce("doc_id", F.lit(-1 << 63)).alias("doc_id"), "size", *keep)
     run = Window.partitionBy("source").orderBy(place).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     end = F.col("start2") + F.sum("size").over(run)
     taken = inside.withColumn("ok", end + end - F.col("size") < 2 * F.col("need")).where("ok")
@@ -137,4 +139,4 @@ def mix(docs: DataFrame, cap: int = CAP, weights: tuple[int, ...] = WEIGHTS, til
     extra = F.col("t").isNotNull() & ((b1 < F.col("b1")) | ((b1 == F.col("b1")) & inside_cut))
     copies = F.col("whole") + F.when(extra, 1).otherwise(0)
     out = ranked.join(cuts, F.col("source").eqNullSafe(F.col("s"))).withColumn("copies", copies)
-    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"))
+    return out.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("copies") * F.col("size")).alias("taken"), *keep)

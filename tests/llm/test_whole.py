@@ -1,7 +1,8 @@
 """What an operator must not leave out: each test fails where a part of the job is cut."""
 
-from pyspark.sql import functions as F
+from collections import Counter
 
+import corpus_pipeline
 from docloom.llm import html, lines
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -41,3 +42,37 @@ def test_short_lines_are_compared(spark):
     assert kept == {1: rows[0][1], 2: "\nDo copy this", 3: rows[2][1]}
     links = {(r.doc_id, r.at): (tuple(r["first"]), r.links) for r in lines.matches(df).collect()}
     assert links[2, 2] == ((1, 2), 1) and links[2, 0] == ((1, 0), 0) and (1, 4) not in links
+
+
+# -- pipeline: rows without a doc_id, and rows that share one
+
+
+def stage(spark, name, rows):
+    df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], DOCS)
+    return Counter((r.doc_id, r.text, r.source) for r in dict(corpus_pipeline.STAGES)[name](spark, df, "").collect())
+
+
+def test_near_dedup_keeps_rows_of_null_and_shared_ids(spark):
+    say = lambda k: " ".join(f"{k}word{i}" for i in range(40))
+    rows = [(None, say("a"), "s"), (None, say("b"), "s"), (None, say("b"), "t"), (7, say("c"), "s"), (7, say("d"), "s"), (8, say("d"), "s"), (9, say("a"), None), (5, say("e"), "s"), (5, say("e"), "s")]
+    got = stage(spark, "simhash near-dedup", rows)
+    assert sorted(t for _, t, _ in got.elements()) == sorted(map(say, "abcde"))
+    assert {t: i for i, t, _ in got} == {say("a"): 9, say("b"): None, say("c"): 7, say("d"): 7, say("e"): 5}
+
+
+def test_line_dedup_takes_rows_of_shared_ids_apart(spark):
+    rows = [(1, "one two three four five\nfirst of all", "s"), (2, "own line of this text\none two three four five", "s"), (2, "other line kept in here\nand that one also stays", "s")]
+    rows += [(None, "first of all\nnothing like this one", "s"), (4, "the same row\n\ntwice", "s"), (4, "the same row\n\ntwice", "s"), (6, None, None), (6, None, None)]
+    want = [rows[0], (2, "own line of this text", "s"), rows[2], (None, "nothing like this one", "s"), rows[4], (4, "", "s"), rows[6], rows[7]]
+    assert stage(spark, "line dedup", rows) == Counter(want)
+
+
+def test_mixing_takes_rows_of_null_and_shared_ids(spark):
+    rows = [(None, f"w{i} " * 20, "a") for i in range(150)] + [(i // 3, f"v{i} " * (10 + i % 3), "b") for i in range(300)] + [(9, "same row", "b")] * 4
+    got = stage(spark, "mixing sources", rows)
+    words = Counter()
+    for (_, t, s), n in got.items():
+        words[s] += n * len(t.split())
+    total = 150 * 20 + 300 * 11 + 8
+    assert abs(words["a"] - total / 3) <= 20 and abs(words["b"] - 2 * total / 3) <= 20
+    assert set(got) <= set(rows) and len({t for _, t, s in got if s == "b"}) > 250
