@@ -4,9 +4,10 @@ Logs often hold a conversation several times, once after every turn. Each turn i
 its place, and the running XOR of these hashes is a rolling hash of every prefix. A whole
 conversation whose hash is a proper prefix of another's is a snapshot and goes, by an
 anti-join; of equal conversations the one of smallest conv_id stays. Only what is left is
-rendered, so texts of snapshots are never shuffled.
+rendered. Turns may share a number, so texts take part in the order that is hashed: they are
+shuffled once for this, and dropped after it.
 
-Defined results: turns come in the order of their number, then role and text; a row that is
+Defined results: turns come in the order of their number, then role and text, nulls last; a row that is
 repeated within a conversation counts once; null role is "unknown", null text empty (a null
 differs from an empty string in comparison); rows without conv_id belong to no conversation;
 markers inside a text are escaped; an empty table gives no rows.
@@ -14,7 +15,7 @@ markers inside a text are escaped; an empty table gives no rows.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -22,14 +23,20 @@ from .common import materialize
 OPEN, CLOSE = "<|{}|>\n", "\n<|end|>\n"
 
 
+def placed() -> list[Column]:
+    """The order of a conversation's turns; nulls come last."""
+    return [x for c in ("turn", "role", "text") for x in (F.isnull(c), F.col(c))]
+
+
 def prefixes(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, role, text) -> conv_id, n, a, b, size: two rolling hashes of the first n
     of the size turns of each conversation."""
     null = lambda c: (F.coalesce(c, F.lit("")), F.col(c).isNull())
-    marks = [F.xxhash64(F.lit(seed), *null("role"), *null("text")).alias(k) for seed, k in ((1, "x"), (2, "y"))]
-    rows = turns.where("conv_id is not null").select("conv_id", "turn", *marks).distinct()
+    marks = [F.xxhash64(F.lit(seed), *null("role"), *null("text")) for seed in (1, 2)]
+    whole = turns.where("conv_id is not null").select("conv_id", "turn", "role", "text")
+    rows = whole.repartition("conv_id").distinct().withColumns(dict(zip(("x", "y"), marks)))
     by = Window.partitionBy("conv_id")
-    order = by.orderBy("turn", "x", "y")
+    order = by.orderBy(*placed())
     rows = rows.withColumns({"n": F.row_number().over(order), "size": F.count("*").over(by)})
     return rows.withColumns({k: F.bit_xor(F.xxhash64(v, "n")).over(order) for k, v in (("a", "x"), ("b", "y"))}).select("conv_id", "n", "a", "b", "size")
 
@@ -48,7 +55,7 @@ def render(turns: DataFrame, chosen: DataFrame) -> DataFrame:
     safe = F.replace(F.coalesce("text", F.lit("")), F.lit("<|"), F.lit("<\\|"))
     role = F.replace(F.coalesce("role", F.lit("unknown")), F.lit("|"), F.lit("\\|"))
     part = F.concat(F.lit("<|"), role, F.lit("|>\n"), safe, F.lit(CLOSE))
-    rows = turns.select("conv_id", F.struct("turn", "role", "text", part.alias("part")).alias("t")).join(chosen, "conv_id", "left_semi")
+    rows = turns.select("conv_id", F.struct(*placed(), part.alias("part")).alias("t")).join(chosen, "conv_id", "left_semi")
     texts = rows.groupBy("conv_id").agg(F.array_sort(F.collect_set("t")).alias("ts"))
     text = F.array_join(F.transform("ts", lambda t: t["part"]), "")
     return chosen.join(texts.select("conv_id", text.alias("text")), "conv_id")

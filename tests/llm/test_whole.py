@@ -2,8 +2,11 @@
 
 from collections import Counter
 
+import duckdb
+
 import corpus_pipeline
-from docloom.llm import html, lines
+from docloom.llm import chat, html, lines
+from docloom.llm.oracles import ORACLES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -28,6 +31,23 @@ def test_unmarked_article_of_one_block_and_a_closing_part():
     assert html.main_text(page) == f"{body.strip()}\n\n{closing.strip()}"
 
 
+# -- chat
+
+
+def test_snapshot_that_ends_between_tied_turns(spark):
+    rows = []
+    for c in range(12):
+        tied = sorted([("assistant", f"reply {c}"), ("tool", f"result {c}"), ("tool", f"some {c}"), (None, f"lost {c}"), ("tool", None)], key=lambda x: (x[0] is None, x[0] or "", x[1] is None, x[1] or ""))
+        turns = [(0, "user", f"question {c}"), *((1, r, t) for r, t in tied)]
+        rows += [(10 * c + n, *t) for n in range(1, 7) for t in turns[:n]]
+    df = spark.createDataFrame(rows[::-1], "conv_id long, turn long, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.n_same, r.text) for r in chat.format_chats(df).collect()}
+    assert set(got) == {10 * c + 6 for c in range(12)}
+    conversations = df.toPandas()  # noqa: F841 - the SQL reads it
+    assert {r[0]: r[1:] for r in duckdb.sql(ORACLES["op5_chat_formatting"]).fetchall()} == got
+    assert got[6][:2] == (6, 1) and got[6][2].index("result 0") < got[6][2].index("some 0") < got[6][2].index("<|unknown|>")
+
+
 # -- lines
 
 
