@@ -16,9 +16,17 @@ SPACE = r"[\x20\x09-\x0D]+"
 _made: list[tuple[SparkSession, str]] = []
 
 
+def fields(text: Column) -> Column:
+    """The words of a text that isn't null, in order. White space becomes spaces first: splitting at one
+    plain character is several times faster than at a pattern."""
+    for x in "\t\n\x0b\x0c\r":
+        text = F.replace(text, F.lit(x), F.lit(" "))
+    return F.array_remove(F.split(text, " "), "")
+
+
 def words(text: Column) -> Column:
     """The words of a text, in order; a null text has none."""
-    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
+    return fields(F.coalesce(text, F.lit("")))
 
 
 def let(value: Column, body) -> Column:
@@ -32,16 +40,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
-    """docs -> its columns, _key, _n: a row for each different one, told from all others by _key,
-    with how often it is there. The key is the doc_id where each row has its own; else the doc_id
-    (null comes last) with two hashes of all columns."""
+    """docs -> _row (a struct of its columns), _key, _n: a row for each different one, told from all
+    others by _key, with how often it is there. The key is the doc_id where each row has its own; else
+    the doc_id (null comes last) with two hashes of all columns."""
+    row = F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row")
     shared = docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if shared.isEmpty():
-        return docs.withColumns({"_key": F.col("doc_id"), "_n": F.lit(1).cast("bigint")})
-    marks = [x for c in docs.columns for x in (F.col(c), F.col(c).isNull())]
+        return docs.select(row, F.col("doc_id").alias("_key"), F.lit(1).cast("bigint").alias("_n"))
+    marks = [x for c in docs.columns for x in (F.col(f"`{c}`"), F.col(f"`{c}`").isNull())]
     key = F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", *(F.xxhash64(F.lit(seed), *marks).alias(k) for seed, k in ((1, "x"), (2, "y"))))
-    rows = docs.withColumn("_key", key).groupBy("_key").agg(*(F.first(c).alias(c) for c in docs.columns), F.count("*").alias("_n"))
-    return materialize(rows.select(*docs.columns, "_key", "_n"), "keyed")
+    rows = docs.select(row, key.alias("_key")).groupBy("_key").agg(F.first("_row").alias("_row"), F.count("*").alias("_n"))
+    return materialize(rows.select("_row", "_key", "_n"), "keyed")
 
 
 def shared_dir(spark: SparkSession) -> str:

@@ -52,10 +52,6 @@ from cum
 """
 
 
-def _duck(e: str) -> str:
-    return e.replace("0D", "0::double").replace("D ", "::double ").replace("bigint", "bigint")
-
-
 def _quality() -> str:
     d = quality
     xs = ", ".join(f"x{i}" for i in range(d.D))
@@ -130,12 +126,12 @@ select g.conv_id, cast(len(g.turns) as bigint) n_turns, cast(g.n_same as bigint)
 from g join c on g.conv_id = c.conv_id where g.turns not in (select turns from p)
 """
 
-OP3 = rf"""
+OP3 = r"""
 with l as (select doc_id, unnest(string_split(coalesce(text, ''), chr(10))) line, unnest(range(0, len(string_split(coalesce(text, ''), chr(10))))) at_ from documents),
 s0 as (select doc_id, at_, list_sort(list_distinct(regexp_extract_all(lower(line), '[^\x20\x09-\x0D]+'))) ws from l),
-s as materialized (select * from s0 where len(ws) >= 5),
-c as materialized (select ws, len(ws) n, min(doc_id * 1000000 + at_) f, count(*) copies from s group by ws),
-t as (select f, n, unnest(ws) w from c),
+s as materialized (select * from s0 where len(ws) >= 1),
+c as materialized (select ws, len(ws) n, min(doc_id * 1000000 + at_) f from s group by ws),
+t as (select f, n, unnest(ws) w from c where n >= 4),
 df as (select w, count(*) df from t group by w),
 r as (select f, n, t.w, row_number() over (partition by f order by df, t.w) k from t join df on t.w = df.w),
 p as materialized (select f, n, w from r where k <= n - ceil(n * 4 / 5.0) + 1),
@@ -143,12 +139,11 @@ cand as (select distinct a.f x, b.f y from p a join p b on a.w = b.w and a.f < b
 pair as materialized (
   select x, y from cand join c a on a.f = x join c b on b.f = y
   where 9 * len(list_intersect(a.ws, b.ws)) >= 4 * (a.n + b.n)),
-link as (select f, min(o) m, count(*) links from (select x f, y o from pair union all select y, x from pair) group by f),
-cls as (select c.ws, c.f, least(c.f, coalesce(m, c.f)) first_, coalesce(links, 0) links from c left join link on c.f = link.f),
+link as (select y f, min(x) m from pair group by y),
+cls as (select c.ws, c.f, coalesce(m, c.f) first_, m is not null linked from c left join link on c.f = link.f),
 per as (
-  select s.doc_id, cast(sum(links) as bigint) n_links, cast(count(*) filter (where s.doc_id * 1000000 + at_ > first_) as bigint) n_removed,
-    string_agg(at_ || '>' || (first_ // 1000000) || ':' || (first_ % 1000000), ',' order by at_) filter (where s.doc_id * 1000000 + at_ > first_) removed
-  from s join cls on s.ws = cls.ws group by s.doc_id)
+  select s.doc_id, count(*) n_removed, count(*) filter (where linked) n_links, string_agg(at_ || '>' || (first_ // 1000000) || ':' || (first_ % 1000000), ',' order by at_) removed
+  from s join cls on s.ws = cls.ws where s.doc_id * 1000000 + at_ > first_ group by s.doc_id)
 select d.doc_id, cast(len(string_split(coalesce(text, ''), chr(10))) as bigint) n_lines, coalesce(n_removed, 0) n_removed, coalesce(n_links, 0) n_links, coalesce(removed, '') removed
 from documents d left join per on d.doc_id = per.doc_id
 """

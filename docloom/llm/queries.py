@@ -12,8 +12,6 @@ from .common import table
 from .oracles import ORACLES
 
 Query = Callable[[SparkSession, str], DataFrame]
-#: Fewest words of a line in the SQL of op3_line_dedup, which leaves out shorter ones.
-OP3_LEAST = 5
 
 
 def op1_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -25,13 +23,14 @@ def op2_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    found = lines.by_document(docs, OP3_LEAST).withColumnRenamed("doc_id", "d")
-    rows = docs.select("doc_id", F.size(lines.split_lines(F.col("text"))).cast("bigint").alias("n_lines"))
-    rows = rows.join(found, F.col("doc_id") == F.col("d"), "left")
-    zero = lambda c: F.coalesce(c, F.lit(0).cast("bigint")).alias(c)
-    pairs = F.transform(F.arrays_zip("gone", "partners"), lambda x: F.concat_ws(">", x["gone"].cast("string"), x["partners"]))
-    return rows.select("doc_id", "n_lines", zero("n_removed"), zero("n_links"), F.coalesce(F.array_join(pairs, ","), F.lit("")).alias("removed"))
+    rows = lines.judged(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    text, first = F.col("_row.text"), F.col("_copy") == 1
+    pairs = F.transform(F.arrays_zip("_gone", "_partners"), lambda x: F.concat_ws(">", x["_gone"].cast("string"), x["_partners"]))
+    removed = F.when(first, F.coalesce(F.size("_gone"), F.lit(0))).otherwise(lines.n_worded(text))
+    return rows.select(
+        "_row.doc_id", F.size(lines.split_lines(text)).cast("bigint").alias("n_lines"), removed.cast("bigint").alias("n_removed"),
+        F.when(first, F.coalesce("_links", F.lit(0))).otherwise(0).cast("bigint").alias("n_links"), F.when(first, F.coalesce(F.array_join(pairs, ","), F.lit(""))).otherwise("").alias("removed"),
+    )
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:

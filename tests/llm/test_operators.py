@@ -122,36 +122,31 @@ def test_link_lists_are_no_text():
 
 
 def brute_lines(plain):
+    """(doc_id, place) -> the earliest line that is alike, for lines that an earlier one is like."""
     found = []
     for i, t in plain:
         if i is not None:
             for k, line in enumerate((t or "").split("\n")):
-                w = frozenset(WORD.findall(line.lower()))
-                if len(w) >= lines.LEAST:
+                if w := frozenset(WORD.findall(line.lower())):
                     found.append((i, k, w))
     first = {}
     for i, k, w in sorted(found, key=lambda x: x[:2]):
         first.setdefault(w, (i, k))
-    alike = {w: [v for v in first if v != w and 9 * len(v & w) >= 4 * (len(v) + len(w))] for w in first}
-    out = defaultdict(list)
-    for i, k, w in sorted(found, key=lambda x: x[:2]):
-        low = min([first[w], *(first[v] for v in alike[w])])
-        if len(alike[w]) or low != (i, k):
-            out[i, k].append((low, len(alike[w])))
-    return out
+    early = {w: min(p for v, p in first.items() if 9 * len(v & w) >= 4 * (len(v) + len(w))) for w in first}
+    return {(i, k): early[w] for i, k, w in found if early[w] < (i, k)}
+
+
+def partners_of(df):
+    return {(r.doc_id, r.at): tuple(r["first"]) for r in lines.matches(df).collect() if tuple(r["first"]) < (r.doc_id, r.at)}
 
 
 def test_lines(spark, docs, plain, none):
     clean = docs.where("doc_id is not null").dropDuplicates(["doc_id"])
-    want = brute_lines([(i, t) for i, t in {p for p in plain if p[0] is not None}])
-    got = {(r.doc_id, r.at): (tuple(r["first"]), r.links) for r in lines.matches(clean).collect()}
-    counted = Counter(low for v in want.values() for low, _ in v)
-    assert {k: v[0] for k, v in want.items() if v[0][0] != k or v[0][1]} == {k: v for k, v in got.items() if v[0] != k or v[1]}
-    assert counted and lines.matches(none).collect() == []
+    want = brute_lines({p for p in plain if p[0] is not None})
+    assert want and partners_of(clean) == want and lines.matches(none).collect() == []
     kept = {r.doc_id: r.text for r in lines.dedup(clean).collect()}
     for i, t in {p for p in plain if p[0] is not None}:
-        e = None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if not ((i, k) in want and want[i, k][0][0] < (i, k)))
-        assert kept[i] == e
+        assert kept[i] == (None if t is None else "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in want))
     assert lines.dedup(clean).columns == clean.columns
 
 
@@ -163,10 +158,36 @@ def test_similar_lines_of_many_sizes(spark):
         rows.append((2 * i, " ".join(w)))
         cut = [x for x in w if rng.random() > 0.1] + [f"n{rng.randrange(5)}"] * (i % 3 == 0)
         rows.append((2 * i + 1, " ".join(cut)))
-    df = spark.createDataFrame(rows, "doc_id long, text string")
-    want = {k: v[0] for k, v in brute_lines(rows).items()}
-    got = {(r.doc_id, r.at): (tuple(r["first"]), r.links) for r in lines.matches(df).collect()}
-    assert {k: v for k, v in want.items() if v[1]} == {k: v for k, v in got.items() if v[1]} and any(v[1] for v in got.values())
+    want = brute_lines(rows)
+    assert len(want) > 30 and partners_of(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+@pytest.mark.parametrize("size", [10, 40, 300])
+def test_clusters_of_near_copies(spark, size):
+    """Some hundred near copies each; of the largest ones also signatures of several words are compared."""
+    rng = random.Random(size)
+    rows = []
+    for c in range(3):
+        base = [f"c{c}w{i}" if i % 2 else f"w{i}" for i in range(size)]
+        for _ in range(160):
+            w = list(base)
+            for _ in range(rng.randrange(0, max(2, size // 8))):
+                w[rng.randrange(size)] = f"e{rng.randrange(10**6)}"
+            rows.append((rng.randrange(10**6), " ".join(w)))
+    rows = list(dict(rows).items())
+    want = brute_lines(rows)
+    assert len(want) > 150 and partners_of(spark.createDataFrame(rows, "doc_id long, text string")) == want
+
+
+def test_bounds_spare_pairs_of_clusters(spark):
+    """Candidates of a cluster of near copies don't grow with its square."""
+    made = []
+    for n in (100, 400):
+        rows = [(i, " ".join([f"w{k}" for k in range(30)] + [f"own{i}"])) for i in range(n)]
+        df = spark.createDataFrame(rows, "doc_id long, text string")
+        one = lines.bounded(df, lines.classes(lines.described(df).where("n > 0")))
+        made.append((one.where("u is null").count(), lines.candidates(one).count()))
+    assert made == [(1, 0), (1, 0)]
 
 
 # -- classifier

@@ -79,7 +79,7 @@ def brute_pipeline(rows):
 
     rows = [r for r in rows if not brute_statistics(r[1])[5]]  # groups are too small for an estimate
     found = brute_lines([r[:2] for r in rows])
-    rows = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if not ((i, k) in found and found[i, k][0][0] < (i, k))), s) for i, t, s in rows]
+    rows = [(i, "\n".join(x for k, x in enumerate(t.split("\n")) if (i, k) not in found), s) for i, t, s in rows]
     prints = {i: brute_simhash(t) for i, t, _ in rows}
     root = {i: i for i in prints}
 

@@ -60,8 +60,8 @@ def test_short_lines_are_compared(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     kept = {r.doc_id: r.text for r in lines.dedup(df).collect()}
     assert kept == {1: rows[0][1], 2: "\nDo copy this", 3: rows[2][1]}
-    links = {(r.doc_id, r.at): (tuple(r["first"]), r.links) for r in lines.matches(df).collect()}
-    assert links[2, 2] == ((1, 2), 1) and links[2, 0] == ((1, 0), 0) and (1, 4) not in links
+    found = {(r.doc_id, r.at): (tuple(r["first"]), r.linked) for r in lines.matches(df).collect()}
+    assert found[2, 2] == ((1, 2), True) and found[2, 0] == ((1, 0), False) and (1, 4) not in found
 
 
 # -- pipeline: rows without a doc_id, and rows that share one
