@@ -30,17 +30,18 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates stays: that of smallest doc_id, once. Rows
     without a doc_id come last in this; of rows that share one, hashes of their columns decide."""
     rows = keyed(docs)
-    found = simhash.linked(rows.select(F.col("_key").alias("doc_id"), "text"))
+    found = simhash.linked(rows.select(F.col("_key").alias("doc_id"), F.col("_row.text").alias("text")))
     kept = found.where("doc_id = component_id").select(F.col("doc_id").alias("_kept"))
-    return rows.join(kept, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi").select(*docs.columns)
+    return rows.join(kept, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi").select("_row.*")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mix takes them; each row has copies of its own."""
     rows = keyed(docs).withColumn("_nth", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")))
-    copies = mixing.mix(rows, keep=("_key", "_nth")).where("copies > 0").select(F.col("_key").alias("_doc"), F.col("_nth").alias("_at"), "copies")
+    mixed = mixing.mix(rows.select("_row.doc_id", "_row.text", "_row.source", "_key", "_nth"), keep=("_key", "_nth"))
+    copies = mixed.where("copies > 0").select(F.col("_key").alias("_doc"), F.col("_nth").alias("_at"), F.col("copies").alias("_copies"))
     rows = rows.join(copies, F.col("_key").eqNullSafe(F.col("_doc")) & (F.col("_nth") == F.col("_at")))
-    return rows.select(*docs.columns, F.explode(F.sequence(F.lit(1), "copies")).alias("_copy")).select(*docs.columns)
+    return rows.select("_row", F.explode(F.sequence(F.lit(1), "_copies")).alias("_copy")).select("_row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
