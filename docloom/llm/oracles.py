@@ -52,66 +52,71 @@ from cum
 """
 
 
-def _quality() -> str:
-    d = quality
-    xs = ", ".join(f"x{i}" for i in range(d.D))
-    ctes = [rf"""w as materialized (
-  select doc_id, lang, source, coalesce(text, '') txt, {WORDS} ws,
-    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls from documents)""",
-        r"""win as (
-  select doc_id, unnest(range(1, len(ws) - 1)) i, ws from w where len(ws) >= 3)""",
-        r"""wins as (select doc_id, i, ws[i] a, ws[i + 1] b, ws[i + 2] c from win)""",
-        r"""rep as (
-  select doc_id, i from (select *, count(*) over (partition by doc_id, a, b, c) n from wins) where n > 1)""",
-        r"""cov as (select doc_id, cast(count(distinct j) as bigint) n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) j from rep) group by doc_id)""",
-        r"""base as (
-  select w.doc_id, lang, source, cast(len(ws) as bigint) n_words, cast(length(array_to_string(ws, '')) as bigint) word_chars,
-    cast(length(regexp_replace(txt, '[^#*$%&|<>]+', '', 'g')) as bigint) n_symbols,
-    cast(len(ls) - len(list_distinct(ls)) as bigint) n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words, cast(len(ls) as bigint) n_lines
-  from w left join cov on w.doc_id = cov.doc_id)""",
-        "st as materialized (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from base)",
-        "xs as (select *, coalesce('s' || lang, 'n') || ' ' || coalesce('s' || source, 'n') own, '*' || coalesce('s' || lang, 'n') wide, "
-        + ", ".join(f"case when not base_failed then {e} end x{i}" for i, e in enumerate(d.VECTOR)) + " from st)",
-        f"v0 as (select unnest([own, wide]) g, {xs} from xs where not base_failed)",
-        f"sizes as (select g from v0 group by g having count(*) >= {d.LEAST})",
-        "v as materialized (select v0.* from v0 join sizes on v0.g = sizes.g)",
-        "e0 as materialized (select g, " + ", ".join(e.replace("percentile(", "quantile_cont(").replace("D)", "::double)").replace("0.0D", "0.0::double") for e in d.start_sql()) + " from v group by g)"]
-
-    def chain(sums: str, scale: float, name: str) -> None:
-        last = sums
-        for k, step in enumerate(d.factor_sql(scale)):
-            ctes.append(f"{name}_{k} as (select " + ", ".join(_cast(e) for e in step) + f" from {last})")
-            last = f"{name}_{k}"
-        ctes.append(f"{name} as materialized (select * from {last})")
+# Robust outliers by L D L' elimination, with concentration as a recursion. Fixed values, as in quality: 0.75 and 0.975
+# shares of chi-squared with 4 degrees of freedom (and the factors that make their scatter consistent), floors, cutoff.
+_LDL = """
+  c00 d0, c10 / d0 a10, c20 / d0 a20, c30 / d0 a30, c11 - a10 * c10 d1, c21 - a20 * c10 e21, c31 - a30 * c10 e31, e21 / d1 a21, e31 / d1 a31,
+  c22 - a20 * c20 - a21 * e21 d2, c32 - a30 * c20 - a31 * e21 e32, e32 / d2 a32, c33 - a30 * c30 - a31 * e31 - a32 * e32 d3, ln(d0) + ln(d1) + ln(d2) + ln(d3) ld"""
+_DISTANCE = """
+  x0 - m0 z0, x1 - m1 - a10 * z0 z1, x2 - m2 - a20 * z0 - a21 * z1 z2, x3 - m3 - a30 * z0 - a31 * z1 - a32 * z2 z3,
+  z0 * z0 / d0 + z1 * z1 / d1 + z2 * z2 / d2 + z3 * z3 / d3 far"""
+_EST = "m0, m1, m2, m3, d0, d1, d2, d3, a10, a20, a21, a30, a31, a32"
 
-    def _cast(e: str) -> str:
-        import re
 
-        return re.sub(r"(\d)D\b", r"\1::double", e)
+def _scatter(scale: float) -> str:
+    floors = [f ** 2 for f in quality.FLOORS]
+    means = ", ".join(f"sum(x{i})::double / count(*) m{i}" for i in range(4))
+    return means + ", " + ", ".join(f"{scale!r}::double * (sum(x{i} * x{j})::double / count(*) - m{i} * m{j}) + {floors[i] if i == j else 0.0!r}::double c{i}{j}" for i in range(4) for j in range(i + 1))
 
-    def dist(rows: str, est: str, name: str, kind: str = "join") -> None:
-        ctes.append(f"{name}_y as (select {rows}.*, {est}.* exclude (g) from {rows} {kind} {est} on {rows}.g = {est}.g)")
-        last = f"{name}_y"
-        for k, e in enumerate(d.distance_sql()):
-            ctes.append(f"{name}_{k} as (select *, {e} from {last})")
-            last = f"{name}_{k}"
-        ctes.append(f"{name} as (select * from {last})")
 
-    sums = ", ".join(d.sums_sql())
-    for s in range(d.STEPS):
-        dist("v", f"e{s}", f"d{s}")
-        ctes.append(f"b{s} as materialized (select g, {xs}, least(floor(d2 * {d._BIN}), {d._TOP}) b from d{s})")
-        ctes.append(f"t{s} as (select g, quantile_cont(b, {d.CORE}) most from b{s} group by g)")
-        ctes.append(f"s{s} as (select b.g, {sums} from b{s} b join t{s} t on b.g = t.g where b <= most group by b.g)")
-        chain(f"s{s}", d.consistency(d.CORE), f"e{s + 1}")
-    dist("v", f"e{d.STEPS}", "dw")
-    ctes.append(f"sw as (select g, {sums} from dw where d2 <= {d.CHI_975} group by g)")
-    chain("sw", d.consistency(0.975), "ew")
-    ctes.append("pick as (select xs.*, case when own in (select g from sizes) then own else wide end g from xs)")
-    dist("pick", "ew", "df", "left join")
-    return "with " + ",\n".join(ctes) + f"""
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-  not base_failed and coalesce(d2 <= {d.CUTOFF}, true) kept from df"""
+OP10 = rf"""
+with recursive w as materialized (
+  select doc_id, lang, source, coalesce(text, '') txt, {WORDS} ws,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) ls from documents),
+wins as (select doc_id, i, ws[i] a, ws[i + 1] b, ws[i + 2] c from (select doc_id, unnest(range(1, len(ws) - 1)) i, ws from w where len(ws) >= 3)),
+rep as (select doc_id, i from (select *, count(*) over (partition by doc_id, a, b, c) n from wins) where n > 1),
+cov as (select doc_id, cast(count(distinct j) as bigint) n_repeat_words from (select doc_id, unnest([i, i + 1, i + 2]) j from rep) group by doc_id),
+base as (
+  select w.doc_id, lang, source, cast(len(ws) as bigint) n_words, cast(length(array_to_string(ws, '')) as bigint) word_chars,
+    cast(length(regexp_replace(txt, '[^#*$%&|<>]+', '', 'g')) as bigint) n_symbols,
+    cast(len(ls) - len(list_distinct(ls)) as bigint) n_dup_lines, coalesce(n_repeat_words, 0) n_repeat_words, cast(len(ls) as bigint) n_lines
+  from w left join cov on w.doc_id = cov.doc_id),
+st as materialized (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words base_failed from base),
+xs as materialized (
+  select *, coalesce('s' || lang, 'n') || ' ' || coalesce('s' || source, 'n') own, '*' || coalesce('s' || lang, 'n') wide,
+    case when not base_failed then least(floor(64 * word_chars::double / n_words), {quality.LONGEST})::bigint end x0,
+    case when not base_failed then floor(1024 * sqrt(n_symbols::double / word_chars))::bigint end x1,
+    case when not base_failed then floor(1024 * sqrt(n_dup_lines::double / n_lines))::bigint end x2,
+    case when not base_failed then floor(1024 * sqrt(n_repeat_words::double / n_words))::bigint end x3 from st),
+v0 as (select unnest([own, wide]) g, x0, x1, x2, x3 from xs where not base_failed),
+sizes as materialized (select g from v0 group by g having count(*) >= {quality.LEAST}),
+v as materialized (select v0.* from v0 join sizes on v0.g = sizes.g),
+mid as materialized (
+  select g, {', '.join(f'quantile_cont(x{i}, 0.5) m{i}, greatest((quantile_cont(x{i}, 0.75) - quantile_cont(x{i}, 0.25)) / 1.349, {quality.FLOORS[i]!r}::double) l{i}' for i in range(4))} from v group by g),
+off as (select v.*, least(floor(16 * greatest({', '.join(f'abs(x{i} - m{i}) / l{i}' for i in range(4))})), 65535) b from v join mid on v.g = mid.g),
+half as (select g, quantile_cont(b, 0.5) most from off group by g),
+inner_ as (select off.* from off join half on off.g = half.g where b <= most),
+est as (
+  select 0 step, g, 0 k, m0, m1, m2, m3, l0 ** 2 d0, l1 ** 2 d1, l2 ** 2 d2, l3 ** 2 d3, 0.0::double a10, 0.0::double a20, 0.0::double a21, 0.0::double a30, 0.0::double a31, 0.0::double a32, 0.0::double ld from mid
+  union all select 0, g, 1, {_EST}, ld from (select *, {_LDL} from (select g, {_scatter(1.0)} from v group by g))
+  union all select 0, g, 2, {_EST}, ld from (select *, {_LDL} from (select g, {_scatter(1.0)} from inner_ group by g))),
+run as (
+  select * from est
+  union all
+  select step + 1, g, k, {_EST}, ld from (
+    select *, {_LDL} from (
+      select step, g, k, before, {_scatter(quality.consistency(quality.CORE))} from (
+        select *, quantile_cont(b, {quality.CORE}) over (partition by g, k) most from (
+          select step, v.g, k, ld before, x0, x1, x2, x3, {_DISTANCE}, least(floor(16 * far), 65535) b from v join run on v.g = run.g where step < {quality.STEPS}))
+      where b <= most group by step, g, k, before))
+  where step = 0 or ld < before - 0.001),
+last_ as (select * from run qualify row_number() over (partition by g, k order by step desc) = 1),
+pick as (select * from last_ qualify row_number() over (partition by g order by ld, k) = 1),
+near as (select v.g, x0, x1, x2, x3, {_DISTANCE} from v join pick on v.g = pick.g),
+fin as materialized (select *, {_LDL} from (select g, {_scatter(quality.consistency(0.975))} from near where far <= {quality.CHI_975} group by g)),
+every as (select xs.*, case when own in (select g from sizes) then own else wide end g from xs),
+judged as (select every.*, {_DISTANCE} from every left join fin on every.g = fin.g)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, not base_failed and coalesce(far <= {quality.CUTOFF}, true) kept from judged"""
 
 
 OP5 = r"""
@@ -161,4 +166,4 @@ kept as (
 select doc_id, cast(len(ws) as bigint) n_words, cast(len(ws) - len(left_) as bigint) n_removed, sha256(array_to_string(left_, ' ')) kept_sha256 from kept
 """
 
-ORACLES = {"op8_substring_dedup": OP8, "op3_line_dedup": OP3, "op5_chat_formatting": OP5, "op7_mix_sources": OP7, "op10_quality_rules": _quality()}
+ORACLES = {"op8_substring_dedup": OP8, "op3_line_dedup": OP3, "op5_chat_formatting": OP5, "op7_mix_sources": OP7, "op10_quality_rules": OP10}

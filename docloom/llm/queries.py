@@ -63,7 +63,7 @@ def op9_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     stats = quality.statistics(table(spark, sf_dir, "documents"), "doc_id", "lang", "source")
-    return quality.outliers(stats).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+    return quality.outliers(stats).select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_scaled_fingerprints, op2_html_main_text, op3_line_dedup, op4_quality_classifier, op5_chat_formatting, op6_simhash_near_duplicates, op7_mix_sources, op8_substring_dedup, op9_sentencepiece, op10_quality_rules)}
