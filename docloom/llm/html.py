@@ -2,14 +2,19 @@
 
 Markup is stripped into lines, one for each block of the page. Elements that are never part
 of an article (scripts, forms, navigation, and what tags, roles or class names mark as menu,
-advert, notice, sidebar, reader comments and so on) leave a gap of empty lines. A line's
-weight is its text outside links; sums of weights over sliding windows of `WINDOW` lines
+advert, notice, sidebar, reader comments and so on) leave a gap of empty lines. A class or id
+marks an element if one whole name of it is such a word, alone or beside words that only say
+where or what kind of box it is ("comments", "site-nav", "share-buttons"; not "has-sidebar",
+"comments-open" or "ad-free").
+
+A line's weight is its text outside links; sums of weights over sliding windows of `WINDOW` lines
 rise at a surge point where text begins and are zero at the dive point after it. Text between
 the two is kept: where the page says which part is its article, all regions of that part, and
-only they; elsewhere all from the first surge to the last dive of the main container, the
-innermost one that holds the region with most text and those that come near it. Gaps of
-elements that were dropped inside that container are no boundary there. Without any container
-but the page itself, only a list of links parts its regions.
+only they; elsewhere all from the first surge to the last dive of the main container. That is
+found by weight: from the page on, step by step, the container that holds `MAJOR` of what is
+around it in several blocks, so that a short box beside the article is left out even where no
+name tells what it is. Gaps of elements that were dropped inside that container are no boundary
+there. Without any container but the page itself, only a list of links parts its regions.
 
 Defined results: null or empty html gives an empty text; broken markup never fails (an element
 that isn't closed ends with its parent or the page); extra columns are ignored.
@@ -18,8 +23,8 @@ that isn't closed ends with its parent or the page); extra columns are ignored.
 from __future__ import annotations
 
 import html
-import os
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -30,25 +35,41 @@ WINDOW = 3
 SURGE = 60
 #: A region is part of the main container if it has this share of the largest region's text.
 SHARE = 0.3
+#: A container is descended into if it has this share of the text around it.
+MAJOR = 0.6
 
 #: Names of the HTML standard, and of common markup.
 BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre search section summary table tbody tfoot thead title tr ul".split())
-DROPPED = frozenset("aside audio button canvas datalist dialog embed fieldset footer form frame frameset head iframe input label map math menu nav noembed noframes noscript object optgroup option output progress search select svg template video".split())
+DROPPED = frozenset("aside audio button canvas datalist dialog embed fieldset footer form frame frameset head iframe input map menu nav noembed noframes noscript object optgroup option output progress search select svg template video".split())
 RAW = frozenset("script style textarea title xmp".split())
 VOID = frozenset("area base br col embed frame hr img input link meta param source track wbr".split())
 ARTICLE = frozenset(["article", "main"])
 CONTAINERS = frozenset(["center", "div"])
 HINTS = frozenset("ad ads adsbygoogle adv advert advertisement advertising adverts adsense alert banner breadcrumb breadcrumbs byline captcha comment comments commentlist consent cookie cookies copyright disclaimer discussion disqus footer gdpr login masthead menu menubar modal nav navbar navigation newsletter notice notices outbrain pager pagination paywall popup popover promo promotion recommended related reply replies respond responses share sharing sidebar signup social sponsor sponsored subscribe subscription taboola tagcloud tags toolbar topbar topnav widget".split())
+#: Words beside those, which say where a box is and what kind of box.
+BEFORE = frozenset("article block blog entry global item main page post primary secondary section site story top bottom the wp".split())
+AFTER = frozenset("area articles bar block body bottom box btn button buttons container content count form group head heading icons inner item items label left link links list main module nav news panel parent posts primary products reading region right row secondary section slot stories text thread title top unit widget wide wrap wrapper zone".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
 ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+READERS, HEADER = frozenset(["comment", "comments", "reply", "replies"]), frozenset(["header"])
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
-def unwanted(name: str, attributes: str, in_article: bool) -> bool:
-    """Whether an element is none of the article, by its tag, role or class names."""
+def hinted(names: str, words: frozenset[str] = HINTS) -> bool:
+    """Whether a whole one of the names is such a word, beside others that say where it stands only."""
+    for x in names.split():
+        parts = [p.lower() for p in PART.findall(x)]
+        for i, p in enumerate(parts):
+            if p in words and BEFORE.issuperset(parts[:i]) and all(q in AFTER or q in words or q.isdigit() for q in parts[i + 1 :]):
+                return True
+    return False
+
+
+def unwanted(name: str, attributes: str, in_article: bool, by_name: bool = True) -> bool:
+    """Whether an element is none of the article, by its tag, role or (if by_name) class names."""
     if name in DROPPED:
         return True
     if name == "header" and not in_article:
@@ -60,13 +81,15 @@ def unwanted(name: str, attributes: str, in_article: bool) -> bool:
         return True
     if re.search(r"(?:^|\s)hidden(?:\s|/|=|$)", attributes):
         return True
-    parts = {p.lower() for p in PART.findall(found.get("class", "") + " " + found.get("id", ""))}
-    if "header" in parts and not in_article and name not in ARTICLE:
-        return True
-    return bool(parts & HINTS) and not (name in ARTICLE and "comment" not in parts and "comments" not in parts and "reply" not in parts)
+    names = found.get("class", "") + " " + found.get("id", "")
+    if not by_name:
+        return False
+    if name in ARTICLE:
+        return hinted(names, READERS)
+    return hinted(names) or (not in_article and hinted(names, HEADER))
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
+def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, bool, tuple[int, ...]]]:
     """Blocks of the page as (text, characters outside links, inside the article, containers from
     the outermost on); gaps are empty."""
     out: list[tuple[str, int, bool, tuple[int, ...]]] = []
@@ -113,7 +136,7 @@ def lines_of(page: str) -> list[tuple[str, int, bool, tuple[int, ...]]]:
             if depth <= 0:
                 skip = ""
             continue
-        if not closing and unwanted(name, attributes, article > 0):
+        if not closing and unwanted(name, attributes, article > 0, by_name):
             flush()
             out.extend([("", 0, False, within)] * WINDOW)
             if name not in VOID and not attributes.endswith("/"):
@@ -166,11 +189,22 @@ def regions(lines: list[tuple[str, int, bool, tuple[int, ...]]]) -> list[tuple[i
 
 
 def container(lines: list[tuple[str, int, bool, tuple[int, ...]]], near: list[int]) -> tuple[int, ...]:
-    """The innermost container of these lines that has another line of text, if any has."""
-    found = os.path.commonprefix([lines[i][3] for i in near])
-    while found and sum(x[1] > 0 and x[3][: len(found)] == found for x in lines) < 2:
-        found = found[:-1]
-    return tuple(found)
+    """The main container of these lines: from the page on, the one that has MAJOR of the weight around it,
+    and several of its blocks."""
+    found: tuple[int, ...] = ()
+    while True:
+        inside = [lines[i] for i in near if lines[i][3][: len(found)] == found]
+        weight, blocks = Counter(), Counter()
+        for _, w, _, at in inside:
+            if w and len(at) > len(found):
+                weight[at[len(found)]] += w
+                blocks[at[len(found)]] += 1
+        if not weight:
+            return found
+        best = max(weight, key=weight.__getitem__)
+        if blocks[best] < 2 or weight[best] < MAJOR * sum(x[1] for x in inside):
+            return found
+        found = (*found, best)
 
 
 def unmarked(lines: list[tuple[str, int, bool, tuple[int, ...]]], spans: list[tuple[int, int]]) -> list[int]:
@@ -181,17 +215,17 @@ def unmarked(lines: list[tuple[str, int, bool, tuple[int, ...]]], spans: list[tu
         return [s for s, n in zip(spans, totals) if n >= SHARE * max(totals)]
 
     near = [i for a, b in large(spans) for i in range(a, b)]
-    inside = container(lines, [i for i in near if lines[i][1]])
+    inside = container(lines, near)
     own = [i for i, x in enumerate(lines) if x[0] and x[3][: len(inside)] == inside]  # its gaps are left out
     again = [(own[a], own[b - 1] + 1) for a, b in regions([lines[i] for i in own])]
     if again:
         again = [(again[0][0], again[-1][1])] if inside else large(again)
-    return sorted({*near, *(i for a, b in again for i in own if a <= i < b)})
+    return sorted(i for a, b in again for i in own if a <= i < b)
 
 
-def main_text(page: str | None) -> str:
-    """The article's blocks, joined by an empty line."""
-    lines = lines_of(page or "")
+def main_text(page: str | None, by_name: bool = True) -> str:
+    """The article's blocks, joined by an empty line; without names only the distribution tells."""
+    lines = lines_of(page or "", by_name)
     marked = any(x[2] for x in lines)
     if marked:
         lines = [x if x[2] else ("", 0, False, x[3]) for x in lines]
