@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, materialize
+from .common import keyed, let, materialize
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
@@ -157,6 +157,7 @@ def lattice(frame: DataFrame, model: Model) -> DataFrame:
     return frame.join(grouped, "unit", "left").withColumn("edges", F.coalesce("edges", F.array().cast("array<struct<s:int,e:int,score:double,id:int>>")))
 
 
+#: More than the characters of a unit.
 _KEY = 1 << 10
 
 
@@ -280,15 +281,57 @@ class _Known(dict):
         return ids
 
 
+def encode_by_join(docs: DataFrame, model: Model | None = None) -> DataFrame:
+    """What `encode` gives, with every unit of up to LONGEST characters sent through the lattice, whatever its
+    count: the distinct units are encoded once and joined to the texts. This shuffles each text's units, and
+    the lattices of all rare words, so `encode` is the default; README has the figures of both."""
+    model = model or Model.load()
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    rows = keyed(docs)
+    given = rows.select("_key", F.col("_row.text").alias("text"))
+    schema = given.select("_key").schema.add("unit", "string").add("at", "array<int>").add("ids", "array<int>")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for part in (b.slice(i, 200) for i in range(0, b.num_rows, 200)):
+                owner, unit, at, ids = [], [], [], []
+                for i, t in enumerate(part.column(1)):
+                    places: dict[str, list[int]] = {}
+                    for k, u in enumerate(units(t.as_py())):
+                        places.setdefault(u, []).append(k)
+                    for u, ks in places.items():
+                        owner.append(i)
+                        unit.append(u)
+                        at.append(ks)
+                        ids.append(shared.value.fold(u) if len(u) > LONGEST else None)
+                keys = part.column(0).take(pa.array(owner, pa.int64()))
+                yield pa.RecordBatch.from_arrays([keys, pa.array(unit, pa.string()), pa.array(at, pa.list_(pa.int32())), pa.array(ids, pa.list_(pa.int32()))], ["_key", "unit", "at", "ids"])
+
+    parts = materialize(given.mapInArrow(run, schema), "units")
+    known = materialize(encoded_units(parts.where("ids is null").select("unit").distinct(), model), "lattices")
+    joined = parts.join(known.select("unit", F.col("ids").alias("own")), "unit", "left")
+    each = joined.select("_key", F.explode("at").alias("at"), F.coalesce("ids", "own").alias("ids"))
+    found = each.groupBy("_key").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("at", "ids"))), lambda x: x["ids"])).alias("_ids"))
+    found = found.select(F.col("_key").alias("_of"), "_ids")
+    out = rows.join(found, F.col("_key").eqNullSafe(F.col("_of")), "left").withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")))
+    ids = F.coalesce("_ids", F.array().cast("array<int>"))
+    return out.select(*(F.col(f"_row.`{c}`").alias(c) for c in docs.columns if c not in MADE), ids.alias("ids"), F.size(ids).cast("bigint").alias("n_pieces"))
+
+
 def decode_bytes(ids: bytes, raw: list[bytes]) -> str:
     text = b"".join(map(raw.__getitem__, np.frombuffer(ids, np.int32).tolist())).decode("utf-8", "replace")
     return text[1:] if text.startswith(" ") else text
 
 
+#: Names of the columns that `encode` makes: columns of the input that bear them are replaced.
+MADE = ("ids", "n_pieces", "decoded_sha256")
+
+
 def encode(docs: DataFrame, model: Model | None = None, digest: bool = False) -> DataFrame:
     """documents(text, ...) -> the same columns, ids array<int>, n_pieces; with digest also
     decoded_sha256, of the text that the ids decode to."""
     model = model or Model.load()
+    docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in MADE))
     shared = docs.sparkSession.sparkContext.broadcast((dictionary(docs, model), model))
     extra = ["ids", "n_pieces"] + ["decoded_sha256"] * digest
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["ids array<int>", "n_pieces bigint"] + ["decoded_sha256 string"] * digest)
