@@ -15,10 +15,7 @@ from docloom.llm.common import keyed, materialize, table
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that fail the rules or are outliers go."""
-    names = docs.columns
-    stats = quality.statistics(docs, *names)
-    judged = quality.outliers(stats)
-    return judged.where("kept").select(*names)
+    return quality.outliers(quality.statistics(docs)).where("kept").select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
