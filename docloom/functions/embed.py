@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import contextlib
+import queue
 import random
 import threading
 import time
 from collections import Counter, deque
 from collections.abc import Callable, Sequence
+from datetime import timezone
+from email.utils import parsedate_to_datetime
 from functools import lru_cache
 from typing import Protocol
 
@@ -50,10 +54,23 @@ class HashEmbedder:
         return out.astype(np.float32).tolist()
 
 
+def seconds_until(value: float | str | None) -> float | None:
+    """Seconds that a Retry-After header asks for; None if it can't be read."""
+    try:
+        return None if value is None else max(0.0, float(value))
+    except ValueError:
+        with contextlib.suppress(ValueError, TypeError):
+            at = parsedate_to_datetime(str(value))
+            return max(0.0, (at if at.tzinfo else at.replace(tzinfo=timezone.utc)).timestamp() - time.time())
+        return None
+
+
 class RemoteError(RuntimeError):
-    def __init__(self, status: int, retry_after: float | None = None):
+    """A failed call; retry_after is the header's value: seconds, or an HTTP date."""
+
+    def __init__(self, status: int, retry_after: float | str | None = None):
         super().__init__(f"status {status}")
-        self.status, self.retry_after = status, retry_after
+        self.status, self.retry_after = status, seconds_until(retry_after)
 
 
 def retryable(status: int) -> bool:
@@ -80,6 +97,26 @@ class Policy:
         if len(self.seen) >= self.least and bad >= self.share * len(self.seen):
             self.open_until = now + self.rest
 
+    def _within(self, f: Callable[[], list[list[float]]], left: float) -> list[list[float]]:
+        """f(), given up when the time that is left has passed; what hangs ends with its process."""
+        got: queue.Queue = queue.Queue(1)
+
+        def run() -> None:
+            try:
+                got.put((f(), None))
+            except BaseException as e:  # noqa: BLE001 - raised again below
+                got.put((None, e))
+
+        threading.Thread(target=run, daemon=True).start()
+        try:
+            out, error = got.get(timeout=max(0.001, left))
+        except queue.Empty:
+            self._note(False)
+            raise TimeoutError(f"no answer within {self.total} s") from None
+        if error is not None:
+            raise error
+        return out
+
     def call(self, f: Callable[[], list[list[float]]]) -> list[list[float]]:
         began = self.clock()
         with self.gate:
@@ -87,7 +124,7 @@ class Policy:
                 if self.clock() < self.open_until:
                     raise RuntimeError("the service is failing; its circuit is open")
                 try:
-                    out = f()
+                    out = self._within(f, self.total - (self.clock() - began))
                     self._note(True)
                     return out
                 except RemoteError as e:

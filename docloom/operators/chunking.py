@@ -8,8 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import basename, extension, is_blank, stem, trim
+from ..sources.files import READERS
 
-#: An ATX header: one to six hashes, white space, and something more, on one line.
+#: Fixed value: an ATX header: one to six hashes, white space, and something more, on one line.
 HEADER = r"(?dU)^(#{1,6})\s+(.+)$"
 
 
@@ -61,7 +62,7 @@ def sections(text: Column) -> Column:
 
 
 def is_markdown(path: Column) -> Column:
-    return F.lower(extension(path)) == ".md"
+    return F.lower(extension(path)).isin([ext for ext, kind in READERS.items() if kind == "markdown"])
 
 
 def chunks_of(text: Column, path: Column) -> Column:

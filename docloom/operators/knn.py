@@ -13,6 +13,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.tables import checkpointed
 from .bm25 import top
 
 
@@ -51,8 +52,7 @@ def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "ve
     rows, parts = queries.toLocalIterator(), []
     while block := list(islice(rows, most)):
         found, shared = _nearest_block(vectors, pd.DataFrame(block, columns=["query_id", "embedding"]), kind, k, key)
-        stored = found.checkpoint() if vectors.sparkSession.sparkContext.getCheckpointDir() else found.localCheckpoint()
-        parts.append(stored.drop("rank"))
+        parts.append(checkpointed(found).drop("rank"))
         shared.destroy()
     return top(reduce(DataFrame.union, parts), k, "query_id", tie=key)
 

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import STANDARD, tokens
+from ..sources.tables import checkpointed
 
 
 @dataclass
@@ -24,13 +25,28 @@ class Postings:
     terms: DataFrame
     stats: DataFrame
     pattern: str = STANDARD
+    scanned: DataFrame | None = None  # (chunk_id, content) that all this is computed from, if it isn't stored
+
+    def cut(self, terms: list[str]) -> Postings:
+        """The index for some terms only. If it is stored, a filter that reaches the files' statistics; else
+        one pass over the texts that keeps, inside each row, these terms and the length."""
+        if self.scanned is None:
+            some = F.col("term").isin(terms)
+            return Postings(self.chunks, self.postings.where(some), self.terms.where(some), self.stats, self.pattern)
+        rows = self.scanned.select("chunk_id", tokens(F.col("content"), self.pattern).alias("ts"))
+        rows = checkpointed(rows.select("chunk_id", F.size("ts").alias("dl"), F.filter("ts", lambda t: t["term"].isin(terms)).alias("ts")))
+        found = _grouped(rows.select("chunk_id", "dl", F.inline("ts")))
+        return Postings(self.chunks, found, frequencies(found), _counted(rows), self.pattern)
 
 
 def term_rows(chunks: DataFrame, content: str = "content", pattern: str = STANDARD) -> DataFrame:
     """(chunk_id, content) -> term, chunk_id, tf, positions, dl; built inside each row's task and
     summed by (chunk, term), which are unique to it."""
     rows = chunks.select("chunk_id", tokens(F.col(content), pattern).alias("ts"))
-    rows = rows.select("chunk_id", F.size("ts").alias("dl"), F.inline("ts"))
+    return _grouped(rows.select("chunk_id", F.size("ts").alias("dl"), F.inline("ts")))
+
+
+def _grouped(rows: DataFrame) -> DataFrame:
     return rows.groupBy("chunk_id", "term").agg(F.count("*").cast("int").alias("tf"), F.sort_array(F.collect_list("pos")).alias("positions"), F.first("dl").alias("dl"))
 
 
@@ -39,7 +55,11 @@ def lengths(chunks: DataFrame, content: str = "content", pattern: str = STANDARD
 
 
 def statistics(chunks: DataFrame, content: str = "content", pattern: str = STANDARD) -> DataFrame:
-    return lengths(chunks, content, pattern).agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("sum_len"))
+    return _counted(lengths(chunks, content, pattern))
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    return rows.agg(F.count("*").alias("n_chunks"), F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("sum_len"))
 
 
 def frequencies(postings: DataFrame) -> DataFrame:
@@ -48,7 +68,7 @@ def frequencies(postings: DataFrame) -> DataFrame:
 
 def build(chunks: DataFrame, content: str = "content", pattern: str = STANDARD) -> Postings:
     rows = term_rows(chunks, content, pattern)
-    return Postings(chunks, rows, frequencies(rows), statistics(chunks, content, pattern), pattern)
+    return Postings(chunks, rows, frequencies(rows), statistics(chunks, content, pattern), pattern, chunks.select("chunk_id", F.col(content).alias("content")))
 
 
 def quantised(dl: Column) -> Column:

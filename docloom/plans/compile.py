@@ -99,9 +99,14 @@ class Compiler:
         return rows.select("chunk_id", "dl", F.lit(part).alias("part"), F.transform("positions", lambda p: p - by).alias("starts"))
 
     def fuzzy(self, node: Fuzzy) -> int:
-        """Like its nearest terms, each boosted by 1 - distance / length of the shorter."""
-        d = F.levenshtein(F.col("term"), F.lit(node.text), node.edits)
-        near = self.index.terms.select("term", d.alias("d")).where("d >= 0")
+        """Like its nearest terms, each boosted by 1 - distance / length of the shorter. Two neighbours that
+        change places are one edit: the distance is the least over the query and its changed forms."""
+        forms = {node.text: 0}
+        for n in range(1, node.edits + 1):
+            forms = {t[:i] + t[i + 1] + t[i] + t[i + 2 :]: n for t in forms for i in range(len(t) - 1)} | forms
+        each = [F.levenshtein(F.col("term"), F.lit(t), node.edits - n) for t, n in forms.items()]
+        d = F.array_min(F.array(*(F.when(e >= 0, e + n) for e, n in zip(each, forms.values()))))
+        near = self.index.terms.select("term", d.alias("d")).where("d is not null")
         share = 1 - F.col("d") / F.least(F.length("term"), F.lit(len(node.text)))
         near = near.withColumn("boost", node.boost * share).where("boost > 0").orderBy("d", "term").limit(EXPANSIONS)
         i = self.leaf()
@@ -170,17 +175,25 @@ class Compiler:
         frames = list(self.frames)
         if self.terms:
             plain = spark.createDataFrame(self.terms, "leaf int, term string, boost double")
-            keep = self._only([t for _, t, _ in self.terms])
-            frames.append(score_terms(keep, plain, ["leaf"], self.norm))
+            named = F.col("term").isin(sorted({t for _, t, _ in self.terms}))
+            some = Postings(self.index.chunks, self.index.postings.where(named), self.index.terms.where(named), self.index.stats, self.index.pattern)
+            frames.append(score_terms(some, plain, ["leaf"], self.norm))
         rows = reduce(DataFrame.unionByName, frames)
         leaves = [F.sum(F.when(F.col("leaf") == i, F.col("score"))).alias(f"leaf_{i}") for i in range(self.n)]
         return rows.groupBy("chunk_id").agg(*leaves).where(match).select("chunk_id", score.alias("score"))
 
-    def _only(self, terms: list[str]) -> Postings:
-        """The index cut to some terms: a filter that reaches the files' statistics."""
-        x, some = self.index, F.col("term").isin(sorted(set(terms)))
-        return Postings(x.chunks, x.postings.where(some), x.terms.where(some), x.stats, x.pattern)
+
+def wanted(node: Node, pattern: str) -> set[str] | None:
+    """The terms that a query names; None if it also asks for others, by a pattern, a range or likeness."""
+    if isinstance(node, Bool):
+        parts = [wanted(n, pattern) for _, n in node.clauses]
+        return None if None in parts else set().union(*parts)
+    if isinstance(node, Term | Phrase):
+        return {w for w, _ in words(node.text, pattern)} if node.field in (None, "content") else set()
+    return set() if isinstance(node, Everything) or getattr(node, "field", None) not in (None, "content") else None
 
 
 def search(index: Postings, node: Node, length_norm: str = "exact") -> DataFrame:
-    return Compiler(index, length_norm).run(node)
+    """index, query -> chunk_id, score of the chunks that match."""
+    terms = wanted(node, index.pattern)
+    return Compiler(index if terms is None else index.cut(sorted(terms)), length_norm).run(node)

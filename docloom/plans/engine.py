@@ -114,17 +114,26 @@ class Engine:
         rows = postings.term_rows(stored, pattern=self.pattern)
         added = self._write(rows.repartitionByRange("term").sortWithinPartitions("term", "chunk_id"), "postings")
         at = {"chunks": [*had["chunks"], segment], "postings": [*had["postings"], added]}
-        load = lambda k: self.spark.read.parquet(*[os.path.join(self.path, x) for x in at[k]])
-        at["terms"] = [self._write(postings.frequencies(load("postings")), "terms")]
-        every = load("postings").groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("sum_len"))
-        at["stats"] = [self._write(load("chunks").agg(F.count("*").alias("n_chunks")).join(every).coalesce(1), "stats")]
+        fresh_only = mode == "append" or old is None  # then counts of the new segment are added to those there are
+        counted = lambda k: self.spark.read.parquet(*[os.path.join(self.path, x) for x in (at[k][-1:] if fresh_only else at[k])])
+        before = {k: self._manifest().get(k, []) if fresh_only else [] for k in ("terms", "stats")}
+        at["terms"] = [*before["terms"], self._write(postings.frequencies(counted("postings")).repartitionByRange("term").sortWithinPartitions("term"), "terms")]
+        every = counted("postings").groupBy("chunk_id").agg(F.first("dl").alias("dl")).agg(F.coalesce(F.sum("dl"), F.lit(0)).cast("bigint").alias("sum_len"))
+        at["stats"] = [*before["stats"], self._write(counted("chunks").agg(F.count("*").alias("n_chunks")).join(every).coalesce(1), "stats")]
+        known = self._read("vectors")
+        if known is not None and mode == "replace":
+            known = known.join(stored.select("source_path").distinct(), "source_path", "left_anti")
         if vectors:
             key = F.struct("source_path", "source_id", "chunk_number")
-            fresh = stored.withColumn("key", key)
+            fresh = stored.withColumn("key", key).dropDuplicates(["key"])
             fresh = fresh.withColumn("embedding", embedded(F.col("content"), self.embedder))
-            known = self._read("vectors")
             known = known.withColumn("key", key) if known is not None else None
-            at["vectors"] = [self._write(upsert(known, fresh, "key") if known is not None else fresh.dropDuplicates(["key"]), "vectors")]
+            if known is not None and (mode == "replace" or not known.join(stored.select(key.alias("key")), "key", "left_semi").isEmpty()):
+                at["vectors"] = [self._write(upsert(known, fresh, "key"), "vectors")]
+            else:  # nothing of it is there yet
+                at["vectors"] = [*self._manifest().get("vectors", []), self._write(fresh, "vectors")]
+        elif known is not None and mode == "replace":
+            at["vectors"] = [self._write(known, "vectors")]
         self._swap(**at)
         shutil.rmtree(os.path.join(self.path, staging), ignore_errors=True)
         return count
@@ -160,7 +169,10 @@ class Engine:
         got = [self._read(k) for k in ("chunks", "postings", "terms", "stats")]
         if any(x is None for x in got):
             raise NotADirectoryError(f"Index directory not found: {self.path}")
-        return postings.Postings(*got, pattern=self.pattern)
+        chunks, posted, terms, stats = got  # of the last two, a part for each segment
+        terms = terms.groupBy("term").agg(F.sum("df").alias("df"))
+        stats = stats.agg(F.sum("n_chunks").alias("n_chunks"), F.sum("sum_len").alias("sum_len"))
+        return postings.Postings(chunks, posted, terms, stats, pattern=self.pattern)
 
     def _results(self, best: DataFrame, chunks: DataFrame) -> DataFrame:
         """Join the few best rows to what the index stores of them."""

@@ -242,7 +242,7 @@ text_query("bm25_range", "[whera TO wherd}", _constant.format(boost=1, test="ter
 text_query("bm25_regexp", "/wh(er|in)s[ht]+/", _constant.format(boost=1, test="regexp_full_match(term, 'wh(er|in)s[ht]+')"))
 text_query("bm25_match_all", "*:*", "l as (select doc_id, 1.0::double s from documents) " + best("l"))
 text_query("bm25_field", "source_id:src3", f"l as (select doc_id, ln(1 + (n - (select count(*) from documents where source = 'src3') + 0.5) / ((select count(*) from documents where source = 'src3') + 0.5)) s from documents, st where source = 'src3') {best('l')}")
-text_query("bm25_fuzzy", "wherth~1", f"""near as (select term, levenshtein(term, 'wherth') d from df where abs(length(term) - 6) <= 1), ex as (select term, 1 - d / least(length(term), 6)::double b from near where d <= 1 order by d, term limit 50),
+text_query("bm25_fuzzy", "wherth~1", f"""near as (select term, damerau_levenshtein(term, 'wherth') d from df where abs(length(term) - 6) <= 1), ex as (select term, 1 - d / least(length(term), 6)::double b from near where d <= 1 order by d, term limit 50),
 l as (select post.doc_id, sum(b * {IDF} * {WEIGHT.replace('dl /', 'dl.dl /')}) s from ex join df on df.term = ex.term join post on post.term = ex.term join dl on dl.doc_id = post.doc_id, st group by post.doc_id) {best('l')}""")
 
 
@@ -329,9 +329,8 @@ FETCH = max(2 * K, 20)
 
 
 def _fused(spark, sf, ids: tuple[list[str], list[int]] | None = None) -> DataFrame:
-    n = load(spark, sf, "embeddings").count()
     x = corpus(spark, sf)
-    scored = compiler.search(x, read("thing inth")).where(F.col("chunk_id") < n)
+    scored = compiler.search(x, read("thing inth"))
     v = load(spark, sf, "embeddings")
     if ids:
         scored = scored.join(x.chunks.where(F.col("source_id").isin(ids[0])).select("chunk_id"), "chunk_id", "left_semi")
@@ -343,7 +342,7 @@ def _fused(spark, sf, ids: tuple[list[str], list[int]] | None = None) -> DataFra
 
 def _fused_sql(where_a: str = "true", where_b: str = "true") -> str:
     return f"""with {IDX}, {leaf('a0', {'thing': 1, 'inth': 1})},
-a as (select a0.doc_id id, row_number() over (order by s desc, a0.doc_id) rank, 'bm25' origin, 0 src from a0 join documents d on d.doc_id = a0.doc_id where a0.doc_id < (select count(*) from embeddings) and {where_a} order by rank limit {FETCH}),
+a as (select a0.doc_id id, row_number() over (order by s desc, a0.doc_id) rank, 'bm25' origin, 0 src from a0 join documents d on d.doc_id = a0.doc_id where {where_a} order by rank limit {FETCH}),
 b as (select v.vec_id id, row_number() over (order by round(1 - {D2} / 2, 9) desc, v.vec_id) rank, 'vector' origin, 1 src from embeddings v, (select embedding from embeddings where vec_id = 7) q where {where_b} order by rank limit {FETCH}),
 u as (select * from a union all select * from b),
 f as (select id, sum(1.0::double / (60 + rank)) s, min(src * 1000 + rank) place, arg_min(origin, src * 1000 + rank) origin from u group by id)
@@ -361,14 +360,13 @@ def hybrid_source_filter(spark, sf):
 
 
 @query("""with a as (select doc_id::varchar document_id, row_number() over (order by n_chars desc, doc_id) rank, 0 src from documents order by rank limit 30),
-b as (select doc_id::varchar document_id, row_number() over (order by n_chars desc, doc_id desc) rank, 1 src from documents where doc_id % 2 = 0 order by rank limit 30),
+b as (select doc_id::varchar document_id, row_number() over (order by n_chars, doc_id) rank, 1 src from documents order by rank limit 30),
 f as (select document_id, sum(1.0::double / (60 + rank)) s, min(src * 1000 + rank) place from (from a union all from b) group by document_id)
 select document_id, round(s, 6) score, row_number() over (order by round(s, 12) desc, place)::integer rank from f order by rank limit 20""")
 def rrf_fusion(spark, sf):
     d = docs(spark, sf).select("doc_id", F.col("n_chars").cast("double").alias("score"))
     a = bm25.top(d, 30, tie="doc_id")
-    flipped = d.where("doc_id % 2 = 0").withColumn("neg", -F.col("doc_id"))
-    b = bm25.top(flipped, 30, tie="neg").drop("neg")
+    b = bm25.top(d.withColumn("score", -F.col("score")), 30, tie="doc_id")  # the shortest first
     lists = [x.select(F.col("doc_id").cast("string").alias("document_id"), "score", "rank") for x in (a, b)]
     return fusion.fuse(lists, 20).select("document_id", r6(F.col("score")).alias("score"), "rank")
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,8 @@ from pyspark.sql import functions as F
 from ..functions.text import extension
 
 READERS = {".txt": "text", ".md": "markdown"}
+#: How other extensions' bytes become text, where it isn't `decoded`.
+DECODERS: dict[str, Callable[[Column], Column]] = {}
 
 
 class UnsupportedFile(ValueError):
@@ -33,9 +36,12 @@ def reader_of(path: str) -> str:
     return READERS[ext.lower()]
 
 
-def register(ext: str, kind: str) -> None:
-    """Let another extension be read, as "text" or "markdown"."""
+def register(ext: str, kind: str, reader: Callable[[Column], Column] | None = None) -> None:
+    """Let another extension be read, and chunked as "text" or "markdown"; a reader makes text of bytes."""
     READERS[ext.lower()] = kind
+    DECODERS.pop(ext.lower(), None)
+    if reader:
+        DECODERS[ext.lower()] = reader
 
 
 def listing(folder: str) -> list[str]:
@@ -47,10 +53,26 @@ def listing(folder: str) -> list[str]:
 
 
 def decoded(content: Column) -> Column:
-    """Bytes as text: UTF-8, bad bytes replaced, or UTF-16 where a byte order mark says so."""
+    """Bytes as text: UTF-8, or UTF-16 where a byte order mark says so. Bad bytes are replaced, never an
+    error: half a unit at the end, and surrogates without a partner."""
     head = F.hex(F.substring(content, 1, 2))
-    wide = F.when(head == "FFFE", F.decode(content, "UTF-16")).when(head == "FEFF", F.decode(content, "UTF-16"))
-    return F.regexp_replace(F.coalesce(wide, content.cast("string")), "^﻿", "")
+    whole = F.hex(F.substring(content, F.lit(3), F.octet_length(content) - 2 - F.octet_length(content) % 2))
+    units = F.regexp_extract_all(whole, F.lit("[0-9A-F]{4}"), F.lit(0))
+    units = F.when(head == "FFFE", F.transform(units, lambda u: F.concat(F.substring(u, 3, 2), F.substring(u, 1, 2)))).otherwise(units)
+    high, low = lambda u: u.rlike("^D[89AB]"), lambda u: u.rlike("^D[C-F]")
+    after, before = lambda i: F.coalesce(F.get(units, i + 1), F.lit("")), lambda i: F.coalesce(F.get(units, i - 1), F.lit(""))
+    mended = F.transform(units, lambda u, i: F.when((high(u) & ~low(after(i))) | (low(u) & ~high(before(i))), F.lit("FFFD")).otherwise(u))
+    cut = F.when(F.octet_length(content) % 2 == 1, F.lit("FFFD")).otherwise(F.lit(""))
+    wide = F.when(head.isin("FFFE", "FEFF"), F.decode(F.unhex(F.concat(F.array_join(mended, ""), cut)), "UTF-16BE"))
+    return F.regexp_replace(F.coalesce(wide, content.cast("string")), "^\ufeff", "")
+
+
+def text_of(path: Column, content: Column) -> Column:
+    """A file's text, by the reader of its extension."""
+    out = decoded(content)
+    for ext, reader in DECODERS.items():
+        out = F.when(F.lower(extension(path)) == ext, reader(content)).otherwise(out)
+    return out
 
 
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
@@ -72,4 +94,4 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
         data = [(os.path.abspath(p), bytearray(open(p, "rb").read())) for p in hidden]
         frames.append(spark.createDataFrame(data, "at string, content binary"))
     rows = frames[0] if len(frames) == 1 else frames[0].union(frames[1])
-    return rows.join(F.broadcast(names), "at").select(F.col("given").alias("path"), decoded(F.col("content")).alias("content"))
+    return rows.join(F.broadcast(names), "at").select(F.col("given").alias("path"), text_of(F.col("given"), F.col("content")).alias("content"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
@@ -11,3 +13,14 @@ def load(spark: SparkSession, folder: str, name: str) -> DataFrame:
     if name not in TABLES:
         raise KeyError(name)
     return spark.read.parquet(f"{folder}/{name}.parquet")
+
+
+def checkpointed(rows: DataFrame) -> DataFrame:
+    """rows, written to the shared folder that spark.checkpoint.dir names. A folder of this machine is
+    taken where none is set and the session is local; on a cluster that is an error."""
+    sc = rows.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="docloom-"))
+    return rows.checkpoint()

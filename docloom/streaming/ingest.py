@@ -7,14 +7,15 @@ from pyspark.sql import functions as F
 
 from ..operators.chunking import chunk_files
 from ..plans.engine import Engine
-from ..sources.files import decoded, readable
+from ..sources.files import readable, text_of
 
 SCHEMA = "path string, modificationTime timestamp, length long, content binary"
 
 
 def new_files(spark: SparkSession, folder: str) -> DataFrame:
     rows = spark.readStream.format("binaryFile").schema(SCHEMA).option("recursiveFileLookup", "true").load(folder)
-    rows = rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), decoded(F.col("content")).alias("content"))
+    rows = rows.select(F.regexp_replace("path", "^file:/+", "/").alias("path"), "content")
+    rows = rows.select("path", text_of(F.col("path"), F.col("content")).alias("content"))
     return rows.where(readable(F.col("path")))
 
 

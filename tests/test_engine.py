@@ -25,8 +25,8 @@ def write(folder, **texts):
 def engine(spark, tmp_path_factory):
     src = write(
         tmp_path_factory.mktemp("src"),
-        test_dot_txt="First paragraph about testing cats.\n\nSecond paragraph about search functionality.",
-        other_dot_txt="Machine learning is fascinating.\n\nMachine learning algorithms are powerful.",
+        test_dot_txt="A note on testing cats for fleas.\n\nAnother note on where lost keys turn up.",
+        other_dot_txt="Steam engines need clean water.\n\nSteam engines also need a patient stoker.",
         deep__notes_dot_md="# Cats\nAll about cats.\n# Dogs\nAll about dogs.",
         skip_dot_json='{"key": 1}', blank_dot_txt="  \n ", _hidden_dot_txt="A hidden walrus.",
     )
@@ -43,8 +43,8 @@ def test_keyword(engine):
     assert 0.1 <= top.score
     assert len(engine.bm25("cats").collect()) == 2 and len(engine.bm25("walrus").collect()) == 1
     assert engine.bm25("key").collect() == [] and engine.bm25("elephant").collect() == []
-    rows = engine.bm25("machine learning").collect()
-    assert rows[0].content == "Machine learning is fascinating." and rows[0].score >= rows[1].score
+    rows = engine.bm25("steam engines").collect()
+    assert rows[0].content == "Steam engines need clean water." and rows[0].score >= rows[1].score
     assert [r.source_id for r in engine.bm25("cats", source_ids=["notes"]).collect()] == ["notes"]
 
 
@@ -187,7 +187,7 @@ def test_stream_reads_each_file_once(spark, tmp_path):
 
 
 def test_many_queries(spark, engine):
-    q = spark.createDataFrame([(1, "cats"), (2, "machine learning")], "query_id int, text string")
+    q = spark.createDataFrame([(1, "cats"), (2, "steam engines")], "query_id int, text string")
     got = engine.search_many(q, 2).collect()
     assert {(r.query_id, r["rank"]) for r in got} == {(1, 1), (1, 2), (2, 1), (2, 2)}
     assert {r.chunk_id for r in got if r.query_id == 1} == {r.chunk_id for r in engine.bm25("cats", 2).collect()}

@@ -1,4 +1,6 @@
-"""Score ranges and orders that keyword search must keep."""
+"""Scores that keyword search must give, by the formula, and orders that it must keep."""
+
+import math
 
 import pytest
 
@@ -14,37 +16,54 @@ def search(spark, text, query, **options):
     return sorted(((r.score, r.chunk_id) for r in rows), key=lambda x: (-x[0], x[1]))
 
 
-FOX = "The quick brown fox jumps over the lazy dog.\n\nThis is a second paragraph about cats and dogs."
-LEARN = "Machine learning is fascinating.\n\nMachine learning algorithms are powerful.\n\nAlgorithms can solve complex problems.\n\nComplex problems require innovative solutions."
+def bm25(tf, df, n, dl, avgdl):
+    return math.log(1 + (n - df + 0.5) / (df + 0.5)) * 2.2 * tf / (tf + 1.2 * (0.25 + 0.75 * dl / avgdl))
+
+
+BOATS = "Seven herons watched one rowing boat drift past our jetty.\n\nTwo ferries left before sunrise carrying mail."
+TIDES = "Spring tide floods marshes.\n\nSpring tide tables help sailors.\n\nTables list harbour depths daily.\n\nHarbour pilots guide large vessels."
 
 
 @pytest.mark.parametrize("norm", ["exact", "lossy"])
-def test_ranges(spark, norm):
-    ((score, chunk),) = search(spark, FOX, "fox", length_norm=norm)
-    assert 0.1 <= score <= 1.0 and chunk == 1
-    rows = search(spark, LEARN, "machine learning", length_norm=norm)
-    assert len(rows) == 2 and rows[0][1] == 1 and 1.0 <= rows[0][0] <= 2.0
-    assert search(spark, FOX, "elephant") == []
+def test_scores(spark, norm):
+    ((score, chunk),) = search(spark, BOATS, "heron* OR jetty", length_norm=norm)[:1]
+    assert chunk == 1
+    ((score, chunk),) = search(spark, BOATS, "jetty", length_norm=norm)
+    assert chunk == 1 and 0.1 <= score <= 1.0
+    if norm == "exact":
+        assert score == pytest.approx(bm25(1, 1, 2, 10, 8.5))
+    rows = search(spark, TIDES, "spring tide", length_norm=norm)
+    assert len(rows) == 2 and rows[0][1] == 1 and rows[0][0] >= rows[1][0]
+    if norm == "exact":
+        avgdl = (4 + 5 + 5 + 5) / 4
+        assert [r[0] for r in rows] == pytest.approx([2 * bm25(1, 2, 4, 4, avgdl), 2 * bm25(1, 2, 4, 5, avgdl)])
+    assert search(spark, BOATS, "submarine") == []
 
 
 def test_frequency_saturates_and_orders(spark):
-    text = "spam spam spam and other words here\n\n" + "spam " * 100 + "\n\nspam and other words here too"
-    (a, b, c) = search(spark, text, "spam")
+    text = "gull gull gull with more birds here\n\n" + "gull " * 100 + "\n\ngull with more birds here too"
+    (a, b, c) = search(spark, text, "gull")
     assert [x[1] for x in (a, b, c)] == [2, 1, 3] and a[0] / b[0] < 10
 
 
 def test_shorter_is_better(spark):
-    rows = search(spark, "target word\n\n" + "target " + "filler " * 60 + "\n\ntarget and some more words", "target")
+    rows = search(spark, "beacon light\n\n" + "beacon " + "padding " * 60 + "\n\nbeacon plus several more words", "beacon")
     assert [x[1] for x in rows] == [1, 3, 2]
 
 
 def test_both_terms_first(spark):
-    text = "cats and dogs live together\n\nonly cats here\n\nonly dogs here\n\ndogs and cats\n\nbirds"
-    assert {c for _, c in search(spark, text, "cats AND dogs")} == {1, 4}
-    assert {c for _, c in search(spark, text, "cats dogs")[:2]} == {1, 4}
+    text = "oars plus sails together\n\nonly oars here\n\nonly sails here\n\nsails plus oars\n\nkeels"
+    assert {c for _, c in search(spark, text, "oars AND sails")} == {1, 4}
+    assert {c for _, c in search(spark, text, "oars sails")[:2]} == {1, 4}
 
 
 def test_unicode_and_repeats(spark):
-    text = "This is a test with special characters: éñ@#$%^&*()!? 测试内容"
-    assert len(search(spark, text, "special")) == 1 and len(search(spark, text, "试")) == 1 and len(search(spark, text, "éñ")) == 1
-    assert search(spark, FOX, "fox dog") == search(spark, FOX, "fox dog")
+    text = "Buoys marked with odd signs: üß@~+=|;%! 海图 plus some text"
+    assert len(search(spark, text, "odd")) == 1 and len(search(spark, text, "图")) == 1 and len(search(spark, text, "üß")) == 1
+    assert search(spark, BOATS, "jetty mail") == search(spark, BOATS, "jetty mail")
+
+
+def test_swapped_letters_are_one_edit(spark):
+    text = "harbour\n\nharbuor\n\nhrabuor\n\nharbouring\n\nharmour"
+    assert {c for _, c in search(spark, text, "harbour~1")} == {1, 2, 5}
+    assert {c for _, c in search(spark, text, "harbour~2")} == {1, 2, 3, 5}
