@@ -153,7 +153,8 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Machine:
 
 
 def score(docs: DataFrame, machine: Machine, *keep: str) -> DataFrame:
-    """documents(text, ...) -> the kept columns, score."""
+    """documents(text, ...) -> the kept columns, score; a kept column of that name is replaced."""
+    keep = tuple(c for c in keep if c != "score")
     shared = docs.sparkSession.sparkContext.broadcast(machine)  # BUCKETS x RANK floats
     schema = docs.select(*keep).schema.add("score", "double")
 

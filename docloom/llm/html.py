@@ -239,7 +239,8 @@ def main_text(page: str | None, by_name: bool = True) -> str:
 
 
 def extract(pages: DataFrame, *keep: str) -> DataFrame:
-    """pages(html, ...) -> the kept columns, text, n_chars."""
+    """pages(html, ...) -> the kept columns, text, n_chars; kept columns of these names are replaced."""
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
     schema = pages.select(*keep).schema.add("text", "string").add("n_chars", "long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

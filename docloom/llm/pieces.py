@@ -33,6 +33,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType
 
 from .common import keyed, let, materialize
 
@@ -289,7 +290,7 @@ def encode_by_join(docs: DataFrame, model: Model | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(model)
     rows = keyed(docs)
     given = rows.select("_key", F.col("_row.text").alias("text"))
-    schema = given.select("_key").schema.add("unit", "string").add("at", "array<int>").add("ids", "array<int>")
+    schema = given.select("_key").schema.add("unit", "string").add("at", ArrayType(IntegerType())).add("ids", ArrayType(IntegerType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -357,7 +358,8 @@ def encode(docs: DataFrame, model: Model | None = None, digest: bool = False) ->
 
 
 def decode(rows: DataFrame, model: Model | None = None, ids: str = "ids") -> DataFrame:
-    """(ids, ...) -> the same columns, decoded: the text of the ids."""
+    """(ids, ...) -> the same columns, decoded: the text of the ids (a column of that name is replaced)."""
+    rows = rows.select(*(F.col(f"`{c}`") for c in rows.columns if c != "decoded"))
     raw = rows.sparkSession.sparkContext.broadcast((model or Model.load()).raw)
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema] + ["decoded string"])
     names = rows.columns

@@ -168,7 +168,8 @@ def links(prints: DataFrame) -> DataFrame:
 
 def linked(docs: DataFrame, *keep: str, shingle: int = SHINGLE) -> DataFrame:
     """documents(doc_id, text, ...) -> doc_id, the kept columns, fp, component_id: the smallest
-    doc_id that can be reached over links, the own included."""
+    doc_id that can be reached over links, the own included. Kept columns of these names are replaced."""
+    keep = tuple(c for c in keep if c not in ("doc_id", "fp", "component_id"))
     marked = materialize(fingerprints(docs, "doc_id", *keep, shingle=shingle), "fingerprints")
     prints = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("rep")), "prints")
     roots = components(links(prints))

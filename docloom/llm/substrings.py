@@ -159,10 +159,29 @@ class Index:
             self.drop(name)
         self.runs = []
 
-    def add(self, batch: DataFrame, archive: DataFrame) -> DataFrame:
+    def save(self, path: str) -> None:
+        """Keep the runs below a folder, and a manifest of them, which is written last: a table of a row
+        for each run. What was saved there before is replaced by the manifest that names it no more."""
+        kept = []
+        for level, name in self.runs:
+            rows = self.spark.table(name)
+            at = f"{path}/{name}"
+            rows.repartition(self.buckets, "anchor").sortWithinPartitions("anchor", "x").write.mode("overwrite").option("compression", "zstd").parquet(at)
+            kept.append((level, at))
+        self.spark.createDataFrame(kept, "level int, path string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str, buckets: int | None = None) -> Index:
+        """The index that another session saved."""
+        index = cls(spark, buckets)
+        for r in sorted(spark.read.parquet(f"{path}/manifest").collect(), key=lambda r: (-r.level, r.path)):  # a row for each run
+            index._write(spark.read.parquet(r.path), r.level)
+        return index
+
+    def add(self, batch: DataFrame, archive: DataFrame, last: bool = False) -> DataFrame:
         """Dedup a batch (doc_id, text) whose doc_ids are above all that the index has seen, and
-        add it; archive(doc_id, text) has the texts of those. -> gone(doc_id, spans, windows):
-        first hashes of the batch's spans and single windows that are repeats."""
+        (unless it is the last) add it; archive(doc_id, text) has the texts of those. -> gone(doc_id,
+        spans, windows): first hashes of the batch's spans and single windows that are repeats."""
         own = materialize(spans(batch), "spans")
         firsts = own.groupBy(*KEY).agg(F.min("doc_id").alias("first"))
         before = self.rows()
@@ -195,7 +214,8 @@ class Index:
         marks = whole.select("doc_id", "x", F.lit(None).cast("bigint").alias("v")).union(single.select("doc_id", F.lit(None).cast("bigint"), "v"))
         lists = marks.groupBy("doc_id").agg(F.collect_set("x").alias("spans"), F.collect_set("v").alias("windows"))
         gone = materialize(lists, "gone")
-        self.append(new)
+        if not last:
+            self.append(new)
         discard(own, firsts, mixed, found)
         return gone
 
@@ -208,10 +228,12 @@ def dedup(docs: DataFrame, batches: int = BATCHES) -> DataFrame:
     cuts = sorted(set(cuts)) if batches > 1 else []
     texts = docs.select("doc_id", "text")
     index, gone = Index(spark), []
-    for low, high in zip([None, *cuts], [*cuts, None]):
-        above = F.lit(True) if low is None else F.col("doc_id") > low
-        upto = F.lit(True) if high is None else F.col("doc_id") <= high
-        archive = texts.where(F.col("doc_id") <= (low if low is not None else -(1 << 63)))
-        gone.append(index.add(texts.where(above & upto), archive))
-    index.close()
+    try:
+        for low, high in zip([None, *cuts], [*cuts, None]):
+            above = F.lit(True) if low is None else F.col("doc_id") > low
+            upto = F.lit(True) if high is None else F.col("doc_id") <= high
+            archive = texts.where(F.col("doc_id") <= (low if low is not None else -(1 << 63)))
+            gone.append(index.add(texts.where(above & upto), archive, last=high is None))
+    finally:
+        index.close()
     return cut(texts, reduce(DataFrame.union, gone))

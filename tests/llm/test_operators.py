@@ -383,6 +383,23 @@ def test_substrings(docs, plain, none, batches):
     assert substrings.dedup(none, batches).collect() == []
 
 
+def test_index_is_reopened(spark, tmp_path):
+    """A batch that another session adds to a saved index loses what a single run takes from it."""
+    rng = random.Random(7)
+    passage = [prose(rng, 90) for _ in range(3)]
+    rows = [(i, f"{prose(rng, 60)} {passage[i % 3]} {prose(rng, 30)}") for i in range(8)]
+    old, new = (spark.createDataFrame(x, "doc_id long, text string") for x in (rows[:4], rows[4:]))
+    index = substrings.Index(spark, 2)
+    first = index.add(old, old.limit(0))
+    index.save(str(tmp_path / "index"))
+    index.close()
+    again = substrings.Index.load(spark.newSession(), str(tmp_path / "index"), 2)
+    second = again.add(new, old, last=True)
+    again.close()
+    got = substrings.cut(old.union(new), first.union(second)).collect()
+    assert Counter(map(tuple, got)) == brute_substrings(rows) and any(r.n_removed for r in got if r.doc_id >= 4)
+
+
 def test_runs_are_merged(spark):
     index = substrings.Index(spark, 2)
     for k in range(5):
@@ -406,6 +423,13 @@ def test_pieces_equal_the_library(spark, docs, plain):
     assert pieces.encode(docs.limit(0)).collect() == []
 
 
+def test_join_of_all_units_is_the_same(spark, docs):
+    rows = docs.withColumn("ids", F.lit("x"))
+    got, want = (Counter((r.doc_id, r.text, tuple(r.ids), r.n_pieces) for r in f(rows).collect()) for f in (pieces.encode_by_join, pieces.encode))
+    assert got == want and pieces.encode_by_join(rows).columns == pieces.encode(rows).columns
+    assert pieces.encode_by_join(rows.limit(0)).collect() == []
+
+
 def test_folds(spark):
     m = pieces.Model.load()
     units = ["▁hello", "▁", "▁▁▁a", "🙂x", "\n", "▁thanea.", "ü", "▁aaaaaaaaaaa"]

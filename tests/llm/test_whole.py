@@ -3,9 +3,10 @@
 from collections import Counter
 
 import duckdb
+import numpy as np
 
 import corpus_pipeline
-from docloom.llm import chat, html, lines
+from docloom.llm import chat, classifier, html, lines, mixing, simhash, sketch, substrings
 from docloom.llm.oracles import ORACLES
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -96,3 +97,28 @@ def test_mixing_takes_rows_of_null_and_shared_ids(spark):
     total = 150 * 20 + 300 * 11 + 8
     assert abs(words["a"] - total / 3) <= 20 and abs(words["b"] - 2 * total / 3) <= 20
     assert set(got) <= set(rows) and len({t for _, t, s in got if s == "b"}) > 250
+
+
+# -- names of other columns
+
+
+CLASHING = ["_doc", "_gone", "_copies", "fp", "component_id", "n", "n_words", "own", "g", "x0", "copies", "size", "ids", "n_pieces", "score", "kept", "d2", "at", "f", "key"]
+
+
+def test_columns_of_clashing_names(spark):
+    """Stages keep them; operators that make a column of such a name replace it."""
+    base = [(i, f"line number {i} of some words here\nand a shared line of words\n" + " ".join(f"w{i}x{k}" for k in range(60)), "en", "s", 0) for i in range(4)]
+    df = spark.createDataFrame([(*r, *(f"{c}{r[0]}" for c in CLASHING)) for r in base], DOCS + ", " + ", ".join(f"{c} string" for c in CLASHING))
+    for _, f in corpus_pipeline.STAGES[:-1]:
+        got = f(spark, df, "")
+        assert got.columns == df.columns
+        assert all(r[c] == f"{c}{r.doc_id}" for r in got.collect() for c in CLASHING)
+    assert len(set((out := corpus_pipeline.STAGES[-1][1](spark, df, "")).columns)) == len(out.columns) and out.select("ids", "n_pieces").count() == 4
+    assert simhash.linked(df, "fp", "own").select("doc_id", "fp", "own", "component_id").count() == 4
+    assert classifier.score(df, classifier.fit([], np.zeros(0)), "doc_id", "score", "kept").columns == ["doc_id", "kept", "score"]
+    pages = df.selectExpr("doc_id page_id", "text html", "text", "n_chars", "own")
+    assert html.extract(pages, "page_id", "n_chars", "text", "own").columns == ["page_id", "own", "text", "n_chars"]
+    chats = df.selectExpr("doc_id conv_id", "1 turn", "source role", "text", "n", "size", "key")
+    assert chat.format_chats(chats).count() == 4
+    for f in (mixing.mix, sketch.compare_with_next, substrings.dedup):
+        assert f(df).count() == 4
