@@ -14,8 +14,13 @@ from docloom.llm.common import keyed, materialize, table
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that fail the rules or are outliers go."""
-    return quality.outliers(quality.statistics(docs)).where("kept").select("_row.*")
+    """Documents that fail the rules or are outliers go. Only counts are stored, and the texts of what is
+    kept are found by key; rows that are equal in all columns count once in the estimates."""
+    rows = keyed(docs)
+    stats = quality.statistics(rows.select("_key", "_row.text", "_row.lang", "_row.source"), "_key", "lang", "source")
+    kept = quality.outliers(stats).where("kept").select(F.col("_row._key").alias("_kept"))
+    rows = rows.join(kept, F.col("_key").eqNullSafe(F.col("_kept")), "left_semi")
+    return rows.select("_row", F.explode(F.sequence(F.lit(1).cast("bigint"), "_n")).alias("_copy")).select("_row.*")
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
