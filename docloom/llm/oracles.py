@@ -166,4 +166,25 @@ kept as (
 select doc_id, cast(len(ws) as bigint) n_words, cast(len(ws) - len(left_) as bigint) n_removed, sha256(array_to_string(left_, ' ')) kept_sha256 from kept
 """
 
-ORACLES = {"op8_substring_dedup": OP8, "op3_line_dedup": OP3, "op5_chat_formatting": OP5, "op7_mix_sources": OP7, "op10_quality_rules": OP10}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_ALNUM = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+OP12 = rf"""
+with d as materialized (select row_number() over () r, doc_id, {_ALNUM} ws from documents),
+b as (select item_id, {_ALNUM} ws from benchmark),
+bw as (
+  select distinct item_id, n, array_to_string(ws[i:i + n - 1], ' ') w
+  from (select *, unnest(range(1, len(ws) - n + 2)) i from (select *, least(len(ws), 10) n from b where len(ws) > 0))),
+dw as (
+  select r, i, n, array_to_string(ws[i:i + n - 1], ' ') w
+  from (select r, ws, n, unnest(range(1, len(ws) - n + 2)) i from d, (select distinct n from bw) where len(ws) >= n)),
+hit as materialized (select dw.* from dw where (n, w) in (select n, w from bw)),
+places as (select r, count(distinct p) n_hit from (select r, unnest(range(i, i + n)) p from hit) group by r),
+items as (
+  select r, count(*) n_items, sha256(string_agg(item, ',' order by item)) items_sha256
+  from (select distinct r, cast(item_id as varchar) item from (select distinct r, n, w from hit) h join bw using (n, w)) group by r)
+select doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coalesce(n_items, 0) n_items, coalesce(items_sha256, sha256('')) items_sha256, n_hit is not null contaminated
+from d left join places using (r) left join items using (r)
+"""
+
+ORACLES = {"op12_benchmark_decontamination": OP12, "op8_substring_dedup": OP8, "op3_line_dedup": OP3, "op5_chat_formatting": OP5, "op7_mix_sources": OP7, "op10_quality_rules": OP10}
