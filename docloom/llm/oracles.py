@@ -187,4 +187,61 @@ select doc_id, cast(len(ws) as bigint) n_words, coalesce(n_hit, 0) n_hit, coales
 from d left join places using (r) left join items using (r)
 """
 
-ORACLES = {"op12_benchmark_decontamination": OP12, "op8_substring_dedup": OP8, "op3_line_dedup": OP3, "op5_chat_formatting": OP5, "op7_mix_sources": OP7, "op10_quality_rules": OP10}
+#: CRC-32 of a string of characters up to U+00FF: its table of 256 entries (by the polynomial, reflected), and the fold over bytes.
+_CRC = """crc as materialized (
+  select list(c order by i) tb from (select i, list_reduce(range(8), lambda a, k: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end, i) c from range(256) t(i)))"""
+
+
+def _crc32(of: str) -> str:
+    bytes_ = f"flatten(list_transform(string_split({of}, ''), lambda x: case when ord(x) < 128 then [ord(x)::bigint] else [195::bigint, ord(x)::bigint - 64] end))"
+    return f"xor(list_reduce({bytes_}, lambda a, k: xor(a >> 8, tb[(xor(a, k) & 255) + 1]), 4294967295::bigint), 4294967295::bigint)"
+
+
+OP11 = rf"""
+with recursive {_CRC},
+runs as (select coalesce(cast(doc_id as varchar), '') d, unnest(regexp_extract_all({_LOWER}, '[a-z\x{{00C0}}-\x{{00FF}}]+')) w from documents),
+per as (select d, w, count(*) n from runs group by d, w),
+hashed as (select w, n, {_crc32("d || ':' || w")} h from per, crc),
+typed as (select case when h % 97 = 0 then w[:h % length(w)] || w[h % length(w) + 2:] else w end w, n from hashed),
+v as materialized (select w, cast(sum(n) as bigint) n from typed where length(w) >= 5 group by w having sum(n) >= 3),
+del as materialized (select w, n, i, w[:i - 1] || w[i + 1:] s from (select w, n, unnest(range(1, length(w) + 1)) i from v)),
+near as (
+  select a.w, b.w o, b.n m from del a join del b on a.s = b.s and a.i = b.i and a.w <> b.w
+  union select d.w, v.w, v.n from del d join v on d.s = v.w
+  union select v.w, d.w, d.n from del d join v on d.s = v.w),
+best as (select w, count(*) n_near, (list(o order by m desc, o))[1] o, max(m) m from near group by w),
+f as materialized (select v.w, n, coalesce(n_near, 0) n_near, case when m >= 2 * n then o end form, case when m >= 2 * n then m end form_n from v left join best using (w)),
+path as (
+  select w, w at_ from f
+  union all select path.w, f.form from path join f on path.at_ = f.w where f.form is not null),
+ends as (select path.w, at_ root from path join f on path.at_ = f.w where f.form is null)
+select f.w word, form, root, n, n_near, form_n from f join ends using (w)
+"""
+
+OP13 = rf"""
+with {_CRC},
+t as (
+  select conv_id, md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) x, len({WORDS}) words,
+    row_number() over (partition by conv_id order by turn nulls first, coalesce(role, ''), coalesce(text, '')) at_
+  from conversations where conv_id is not null),
+c as (select conv_id, {_crc32("cast(conv_id as varchar)")} % 4 h from (select distinct conv_id from t), crc),
+r as (
+  select c.conv_id, 0 part, at_, x, words from c join t on t.conv_id = c.conv_id - c.conv_id % 20 and at_ <= h
+  union all select c.conv_id, 1, at_, x, words from c join t on t.conv_id = c.conv_id and at_ > h),
+path as materialized (
+  select c.conv_id, coalesce(xs, []) xs, coalesce(ws, []) ws
+  from c left join (select conv_id, list(x order by part, at_) xs, list(words order by part, at_) ws from r group by conv_id) p on c.conv_id = p.conv_id),
+mem as materialized (
+  select conv_id, d, md5(array_to_string(xs[1:d], '')) k, case when d > 0 then md5(array_to_string(xs[1:d - 1], '')) end up, case when d > 0 then ws[d] else 0 end words, d = len(xs) ends
+  from (select *, unnest(range(0, len(xs) + 1)) d from path)),
+node as materialized (
+  select k, any_value(d) d, any_value(up) up, any_value(words) words, count(*) n, min(conv_id) low, string_agg(conv_id, ',' order by conv_id) filter (where ends) ids from mem group by k),
+kids as (select up k, count(*) n_children from node where up is not null group by up),
+below as (
+  select mem.k, count(*) filter (where n_children is null) n_leaves, sum((node.n - 1) * node.words) saved
+  from node left join kids using (k) join mem on mem.conv_id = node.low and mem.d <= node.d group by mem.k)
+select node.low conv_id, cast(node.d as bigint) depth, up.low parent_conv_id, node.n n_convs, coalesce(n_children, 0) n_children, n_leaves, cast(saved as bigint) saved_tokens, sha256(coalesce(node.ids, '')) ends_sha256
+from node left join node up on node.up = up.k left join kids on node.k = kids.k join below on node.k = below.k
+"""
+
+ORACLES = {"op13_conversation_prefix_trie": OP13, "op11_spelling_variants": OP11, "op12_benchmark_decontamination": OP12, "op8_substring_dedup": OP8, "op3_line_dedup": OP3, "op5_chat_formatting": OP5, "op7_mix_sources": OP7, "op10_quality_rules": OP10}

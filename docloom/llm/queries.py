@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, classifier, html, leaks, lines, mixing, pieces, quality, simhash, sketch, substrings
+from . import chat, classifier, html, leaks, lines, mixing, pieces, quality, simhash, sketch, spelling, substrings, trie
 from .common import table
 from .oracles import ORACLES
 
@@ -66,9 +66,17 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.outliers(stats).select("_row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 def op12_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks.decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("hits")
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_scaled_fingerprints, op2_html_main_text, op3_line_dedup, op4_quality_classifier, op5_chat_formatting, op6_simhash_near_duplicates, op7_mix_sources, op8_substring_dedup, op9_sentencepiece, op10_quality_rules, op12_benchmark_decontamination)}
+def op13_conversation_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return trie.prefix_trie(table(spark, sf_dir, "conversations"))
+
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_scaled_fingerprints, op2_html_main_text, op3_line_dedup, op4_quality_classifier, op5_chat_formatting, op6_simhash_near_duplicates, op7_mix_sources, op8_substring_dedup, op9_sentencepiece, op10_quality_rules, op11_spelling_variants, op12_benchmark_decontamination, op13_conversation_prefix_trie)}
 SQL: dict[str, str] = {k: v for k, v in ORACLES.items() if k in QUERIES}
