@@ -270,15 +270,19 @@ class _Known(dict):
         self.model, self.room = model, 1 << 18
 
     def __missing__(self, unit: str) -> bytes:
-        if len(unit) > 1 and unit[-2:] not in self.model.pairs:
-            cut = len(unit) - 1
-            while cut > 1 and unit[cut - 2 : cut] not in self.model.pairs and unit[cut - 1] == unit[-1]:
-                cut -= 1
-            return self[unit[:cut]] + b"".join(self[c] for c in unit[cut:])
-        ids = np.asarray(self.model.fold(unit), np.int32).tobytes()
-        if self.room:
+        """A unit falls apart wherever two neighbours are in no piece; what is left between is looked up by itself."""
+        pairs = self.model.pairs
+        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in pairs]
+        if not cuts:
+            return self._folded(unit)
+        parts = [unit[a:b] for a, b in zip([0, *cuts], [*cuts, len(unit)])]
+        return b"".join([self.get(p) or self._folded(p) for p in parts])
+
+    def _folded(self, part: str) -> bytes:
+        ids = np.asarray(self.model.fold(part), np.int32).tobytes()
+        if self.room and len(part) <= LONGEST:
             self.room -= 1
-            self[unit] = ids
+            self[part] = ids
         return ids
 
 
