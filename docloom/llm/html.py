@@ -16,6 +16,9 @@ around it in several blocks, so that a short box beside the article is left out
 name tells what it is. Gaps of elements that were dropped inside that container are no boundary
 there. Without any container but the page itself, only a list of links parts its regions.
 
+A form around the page (one that holds an article or most of the text) is no part that is dropped;
+its controls are.
+
 Defined results: null or empty html gives an empty text; broken markup never fails (an element
 that isn't closed ends with its parent or the page); extra columns are ignored.
 """
@@ -24,7 +27,6 @@ from __future__ import annotations
 
 import html
 import re
-from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -52,12 +54,17 @@ AFTER = frozenset("area articles bar block body bottom box btn button buttons co
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar toolbar".split())
 
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^>]*)(?:>|\Z)""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+ATTRIBUTE = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 READERS, HEADER = frozenset(["comment", "comments", "reply", "replies"]), frozenset(["header"])
+SCRIPTS = re.compile(r"<(script|style)\b.*?(?:</\1\s*>|\Z)", re.S | re.I)
 HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 
 
+#: A block: text, characters outside links, inside the article, innermost container.
+Line = tuple[str, int, bool, int]
+
+
 def hinted(names: str, words: frozenset[str] = HINTS) -> bool:
     """Whether a whole one of the names is such a word, beside others that say where it stands only."""
     for x in names.split():
@@ -77,9 +84,7 @@ def unwanted(name: str, attributes: str, in_article: bool, by_name: bool = True)
     if not attributes or name in ("html", "body"):
         return False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
-    if found.get("role", "").lower() in ROLES or HIDDEN.search(found.get("style", "")) or found.get("aria-hidden", "").lower() == "true":
-        return True
-    if re.search(r"(?:^|\s)hidden(?:\s|/|=|$)", attributes):
+    if found.get("role", "").lower() in ROLES or HIDDEN.search(found.get("style", "")) or found.get("aria-hidden", "").lower() == "true" or "hidden" in found:
         return True
     names = found.get("class", "") + " " + found.get("id", "")
     if not by_name:
@@ -89,13 +94,40 @@ def unwanted(name: str, attributes: str, in_article: bool, by_name: bool = True)
     return hinted(names) or (not in_article and hinted(names, HEADER))
 
 
-def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, bool, tuple[int, ...]]]:
-    """Blocks of the page as (text, characters outside links, inside the article, containers from
-    the outermost on); gaps are empty."""
-    out: list[tuple[str, int, bool, tuple[int, ...]]] = []
-    within: tuple[int, ...] = ()
-    names: list[str] = []
-    made = 0
+def _length(markup: str) -> int:
+    """Characters of text in a piece of markup, about."""
+    return len("".join(TAG.sub(" ", SCRIPTS.sub(" ", markup)).split()))
+
+
+class Forms:
+    """Tells forms around the page, which hold an article or most of the text, from others. Forms don't
+    nest: what begins inside one around the page is part of it."""
+
+    END, ARTICLES = re.compile(r"</form\b", re.I), re.compile(r"<(?:article|main)\b", re.I)
+
+    def __init__(self, page: str):
+        self.page, self.total, self.until = page, -1, 0
+
+    def around(self, start: int) -> bool:
+        """Whether the form whose tag ends here is one."""
+        if start <= self.until:
+            return True
+        end = self.END.search(self.page, start)
+        stop = end.start() if end else len(self.page)
+        self.total = _length(self.page) if self.total < 0 else self.total
+        found = bool(self.ARTICLES.search(self.page, start, stop)) or 2 * _length(self.page[start:stop]) > self.total
+        self.until = stop if found else self.until
+        return found
+
+
+def lines_of(page: str, by_name: bool = True) -> tuple[list[Line], list[int]]:
+    """Blocks of the page as (text, characters outside links, inside the article, innermost container),
+    where gaps are empty; and the container around each container, the page being 0."""
+    out: list[Line] = []
+    around, within = [0], 0
+    chain: list[tuple[str, int]] = []  # open containers by name and number
+    opened: dict[str, list[int]] = {x: [] for x in CONTAINERS}  # where in the chain those of a name are
+    forms = Forms(page)
     text: list[tuple[str, bool]] = []
     link = article = 0
     skip, depth, at = "", 0, 0  # the element that is dropped, and how many of its name are open
@@ -136,7 +168,7 @@ def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, bool, tupl
             if depth <= 0:
                 skip = ""
             continue
-        if not closing and unwanted(name, attributes, article > 0, by_name):
+        if not closing and unwanted(name, attributes, article > 0, by_name) and not (name == "form" and forms.around(pos)):
             flush()
             out.extend([("", 0, False, within)] * WINDOW)
             if name not in VOID and not attributes.endswith("/"):
@@ -154,16 +186,21 @@ def lines_of(page: str, by_name: bool = True) -> list[tuple[str, int, bool, tupl
             link = 0 if closing else 1
         elif name in CONTAINERS:
             if not closing:
-                made += 1
-                within, names = (*within, made), [*names, name]
-            elif name in names:  # what is open inside it ends too
-                last = len(names) - 1 - names[::-1].index(name)
-                within, names = within[:last], names[:last]
+                around.append(within)
+                within = len(around) - 1
+                opened[name].append(len(chain))
+                chain.append((name, within))
+            elif opened[name]:  # what is open inside it ends too
+                last = opened[name][-1]
+                while len(chain) > last:
+                    ended, number = chain.pop()
+                    opened[ended].pop()
+                    within = around[number]
     flush()
-    return out
+    return out, around
 
 
-def regions(lines: list[tuple[str, int, bool, tuple[int, ...]]]) -> list[tuple[int, int]]:
+def regions(lines: list[Line]) -> list[tuple[int, int]]:
     """[surge, dive) points: runs of lines whose windows have text, of which one has enough."""
     weights = [x[1] for x in lines]
     sums = [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
@@ -188,26 +225,28 @@ def regions(lines: list[tuple[str, int, bool, tuple[int, ...]]]) -> list[tuple[i
     return found
 
 
-def container(lines: list[tuple[str, int, bool, tuple[int, ...]]], near: list[int]) -> tuple[int, ...]:
+def container(lines: list[Line], around: list[int], near: list[int]) -> int:
     """The main container of these lines: from the page on, the one that has MAJOR of the weight around it,
     and several of its blocks."""
-    found: tuple[int, ...] = ()
-    while True:
-        inside = [lines[i] for i in near if lines[i][3][: len(found)] == found]
-        weight, blocks = Counter(), Counter()
-        for _, w, _, at in inside:
-            if w and len(at) > len(found):
-                weight[at[len(found)]] += w
-                blocks[at[len(found)]] += 1
-        if not weight:
-            return found
-        best = max(weight, key=weight.__getitem__)
-        if blocks[best] < 2 or weight[best] < MAJOR * sum(x[1] for x in inside):
-            return found
-        found = (*found, best)
-
-
-def unmarked(lines: list[tuple[str, int, bool, tuple[int, ...]]], spans: list[tuple[int, int]]) -> list[int]:
+    weight, blocks = [0] * len(around), [0] * len(around)
+    for i in near:
+        if lines[i][1]:
+            weight[lines[i][3]] += lines[i][1]
+            blocks[lines[i][3]] += 1
+    best = [0] * len(around)
+    for c in range(len(around) - 1, 0, -1):  # what is inside has the larger number
+        up = around[c]
+        weight[up] += weight[c]
+        blocks[up] += blocks[c]
+        if weight[c] and (not best[up] or weight[c] >= weight[best[up]]):
+            best[up] = c
+    found = 0
+    while (c := best[found]) and blocks[c] > 1 and weight[c] >= MAJOR * weight[found]:
+        found = c
+    return found
+
+
+def unmarked(lines: list[Line], around: list[int], spans: list[tuple[int, int]]) -> list[int]:
     """Places of the lines to keep on a page that marks no article."""
 
     def large(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -215,8 +254,11 @@ def unmarked(lines: list[tuple[str, int, bool, tuple[int, ...]]], spans: list[tu
         return [s for s, n in zip(spans, totals) if n >= SHARE * max(totals)]
 
     near = [i for a, b in large(spans) for i in range(a, b)]
-    inside = container(lines, near)
-    own = [i for i, x in enumerate(lines) if x[0] and x[3][: len(inside)] == inside]  # its gaps are left out
+    inside = container(lines, around, near)
+    part = [c == inside for c in range(len(around))]
+    for c in range(inside + 1, len(around)):
+        part[c] = part[around[c]]
+    own = [i for i, x in enumerate(lines) if x[0] and part[x[3]]]  # its gaps are left out
     again = [(own[a], own[b - 1] + 1) for a, b in regions([lines[i] for i in own])]
     if again:
         again = [(again[0][0], again[-1][1])] if inside else large(again)
@@ -225,7 +267,7 @@ def unmarked(lines: list[tuple[str, int, bool, tuple[int, ...]]], spans: list[tu
 
 def main_text(page: str | None, by_name: bool = True) -> str:
     """The article's blocks, joined by an empty line; without names only the distribution tells."""
-    lines = lines_of(page or "", by_name)
+    lines, around = lines_of(page or "", by_name)
     marked = any(x[2] for x in lines)
     if marked:
         lines = [x if x[2] else ("", 0, False, x[3]) for x in lines]
@@ -234,7 +276,7 @@ def main_text(page: str | None, by_name: bool = True) -> str:
         low, high = (spans[0][0], spans[-1][1]) if spans else (0, len(lines))
         at = [i for i, x in enumerate(lines) if low <= i < high or x[1]]
     else:
-        at = unmarked(lines, spans) if spans else []
+        at = unmarked(lines, around, spans) if spans else []
     return "\n\n".join(lines[i][0] for i in at if lines[i][0])
 
 
