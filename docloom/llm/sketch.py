@@ -1,20 +1,17 @@
 """Document fingerprints: threshold-scaled sketches of word shingles.
 
-A sketch keeps every shingle hash below a fixed share (1 in `SCALE`) of the hash range, and the
-`LEAST` smallest hashes of a text in any case, so that short texts are told apart as well as long
-ones and only an empty text has an empty sketch. Both parts merge: the union of two sketches,
-cut by the same rule, is the sketch of both texts together. Below its reach, which can be read
-off it, a sketch holds every hash of its text; within the lesser reach of two sketches the share
-of one found in the other estimates containment without bias, however unequal the documents.
+A sketch keeps every shingle hash below a fixed share (1 in `SCALE`) of the hash range, and no
+other. So sketches merge by union, and the share of one found in the other estimates containment
+without bias, however unequal the documents. The estimate rests on as many hashes as the first sketch
+has (`near_basis`); a text of n different shingles has none with odds (1 - 1 / SCALE)^n, and the
+estimate then says nothing.
 
 `with_next` gives every document its neighbour in a total order of the table without a global
 sort in one task: documents are dealt to ranges of doc_id, the last one of each range also to
 the range after it, and each range is walked in order.
 
 Defined results: null text is empty; texts of fewer words than a shingle are one shingle;
-two empty sketches are alike (1), an empty and another are not (0), nor are two of which one has
-no hash within the common reach; a null doc_id comes first
-in the order; rows of equal doc_id are ordered by text; a lone document is its own neighbour.
+two empty sketches are alike (1), an empty and another are not (0); a null doc_id comes first in the order; rows of equal doc_id are ordered by text; a lone document is its own neighbour.
 """
 
 from __future__ import annotations
@@ -31,8 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 SHINGLE = 5
-SCALE = 8
-LEAST = 64
+SCALE = 2
 #: Ranges a shuffle partition is worth: more ranges, less to hold in order at a time.
 RANGES = 1
 
@@ -48,32 +44,22 @@ def hashes(text: str, shingle: int = SHINGLE) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh64_intdigest, pieces, repeat(0)), np.uint64, len(w) - k + 1)
 
 
-def _kept(h: np.ndarray, scale: int) -> np.ndarray:
-    """Of sorted different hashes those that a sketch keeps."""
-    return h[: max(LEAST, int(np.searchsorted(h, np.uint64((1 << 64) // scale))))]
-
-
 def sketch(text: str, scale: int = SCALE, shingle: int = SHINGLE) -> np.ndarray:
     """Sorted hashes that the sketch keeps."""
-    return _kept(np.unique(hashes(text, shingle)), scale)
+    h = hashes(text, shingle)
+    return np.unique(h[h < np.uint64((1 << 64) // scale)])
 
 
-def merge(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> np.ndarray:
+def merge(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The sketch of two texts' shingles together."""
-    return _kept(np.union1d(a, b), scale)
-
-
-def reach(a: np.ndarray, scale: int = SCALE) -> int:
-    """The largest hash up to which a sketch holds all."""
-    return (1 << 64) - 1 if len(a) < LEAST else max((1 << 64) // scale - 1, int(a[-1]))
+    return np.union1d(a, b)
 
 
-def containment(a: np.ndarray, b: np.ndarray, scale: int = SCALE) -> float:
+def containment(a: np.ndarray, b: np.ndarray) -> float:
     """Estimated share of a's shingles that b has."""
     if not len(a) or not len(b):
         return float(len(a) == len(b))
-    own = a[a <= np.uint64(min(reach(a, scale), reach(b, scale)))]
-    return len(np.intersect1d(own, b, assume_unique=True)) / len(own) if len(own) else 0.0
+    return len(np.intersect1d(a, b, assume_unique=True)) / len(a)
 
 
 def encode(a: np.ndarray) -> str:
@@ -132,9 +118,9 @@ def with_next(docs: DataFrame) -> DataFrame:
 
 def compare_with_next(docs: DataFrame, scale: int = SCALE, shingle: int = SHINGLE) -> DataFrame:
     """documents(doc_id, text) -> doc_id, n_chars, edited_sha256, fingerprint,
-    edited_fingerprint, near_edited, near_next. Next is the document of the next smaller doc_id;
+    edited_fingerprint, near_edited, near_next, near_basis (hashes of the fingerprint). Next is the document of the next smaller doc_id;
     after the smallest comes the largest."""
-    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    schema = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, near_basis bigint"
     names = [x.split()[0] for x in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,10 +134,10 @@ def compare_with_next(docs: DataFrame, scale: int = SCALE, shingle: int = SHINGL
                     changed = edited(text, before)
                     other = sketch(changed, scale, shingle)
                     digest = hashlib.sha256(changed.encode()).hexdigest()
-                    out.append((doc_id, len(text), digest, encode(own), encode(other), containment(own, other, scale), containment(own, sketched, scale)))
+                    out.append((doc_id, len(text), digest, encode(own), encode(other), containment(own, other), containment(own, sketched), len(own)))
                 before, sketched = text, own
             if out:
-                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64()]
+                kinds = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.float64(), pa.float64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out), kinds)], names)
 
     return with_next(docs).mapInArrow(run, schema)
