@@ -73,12 +73,23 @@ def chunks_of(text: Column, path: Column) -> Column:
 def chunk_files(files: DataFrame, chunker: Callable[[Column, Column], Column] = chunks_of) -> DataFrame:
     """(path, content) -> one row per chunk, with the names an index keeps. A chunker makes an
     array<string> of (text, path)."""
-    rows = files.select("path", F.posexplode(chunker(F.col("content"), F.col("path"))).alias("pos", "content"))
-    rows = rows.where(~is_blank(F.col("content")))
-    number = (F.col("pos") + 1).alias("chunk_number")
-    return rows.select(basename(F.col("path")).alias("source_file"), F.col("path").alias("source_path"), stem(F.col("path")).alias("source_id"), number, "content").withColumn(
-        "document_id", F.concat_ws("_", "source_file", "chunk_number")
-    )
+    return named(cut_files(files.select("path", "content"), chunker).where("content is not null"))
+
+
+def cut_files(files: DataFrame, chunker: Callable[[Column, Column], Column] = chunks_of) -> DataFrame:
+    """(path, content, ...) -> the other columns, chunk_number and content of each chunk; a file without any
+    has one row, where they are null."""
+    rest = [c for c in files.columns if c != "content"]
+    rows = files.select(*rest, F.posexplode_outer(chunker(F.col("content"), F.col("path"))).alias("pos", "content"))
+    full = ~is_blank(F.col("content"))
+    rows = rows.select(*rest, F.when(full, F.col("pos") + 1).alias("chunk_number"), F.when(full, F.col("content")).alias("content"))
+    return rows
+
+
+def named(chunks: DataFrame) -> DataFrame:
+    """(path, chunk_number, content) -> the names that an index keeps of a chunk."""
+    rows = chunks.select(basename(F.col("path")).alias("source_file"), F.col("path").alias("source_path"), stem(F.col("path")).alias("source_id"), "chunk_number", "content")
+    return rows.withColumn("document_id", F.concat_ws("_", "source_file", "chunk_number"))
 
 
 def chunk_table(docs: DataFrame, doc_id: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:

@@ -3,19 +3,18 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from functools import reduce
-from itertools import islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
 from .bm25 import top
 
+#: Queries and vectors of a block.
+QUERIES, VECTORS = 4096, 8192
+
 
 def squared_distance(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: (x.cast("double") - y.cast("double")) * (x.cast("double") - y.cast("double"))), F.lit(0.0), lambda s, x: s + x)
@@ -39,43 +38,83 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id")
     return top(scored, k, tie=key)
 
 
-def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", most: int = 10_000) -> DataFrame:
-    """queries(query_id, embedding) -> query_id, key, score, rank. Up to `most` queries are one
-    matrix on the driver; of more, such blocks are searched for one after the other, and only one
-    is held at a time."""
-    queries = queries.select("query_id", "embedding")
-    kind = dict(queries.dtypes)["query_id"]
-    got = queries.limit(most + 1).toPandas()
-    if len(got) <= most:
-        return _nearest_block(vectors, got.sort_values("query_id"), kind, k, key)[0]
-    del got
-    rows, parts = queries.toLocalIterator(), []
-    while block := list(islice(rows, most)):
-        found, shared = _nearest_block(vectors, pd.DataFrame(block, columns=["query_id", "embedding"]), kind, k, key)
-        parts.append(checkpointed(found).drop("rank"))
-        shared.destroy()
-    return top(reduce(DataFrame.union, parts), k, "query_id", tie=key)
-
-
-def _nearest_block(vectors: DataFrame, got: pd.DataFrame, qkind: str, k: int, key: str) -> tuple[DataFrame, Broadcast]:
-    """The k best of each query, and the broadcast they are computed from. Blocks of vectors
-    meet the query matrix in one product; each block passes on its k best a query."""
-    ids = got["query_id"].to_numpy()
-    matrix = np.stack(got["embedding"].map(np.asarray).tolist()).astype(np.float64) if len(got) else np.zeros((0, 1))
-    shared = vectors.sparkSession.sparkContext.broadcast((ids, matrix, (matrix * matrix).sum(axis=1)))
-    kind = dict(vectors.dtypes)[key]
+def packed(rows: DataFrame, key: str, size: int, by: str | None = None) -> DataFrame:
+    """(key, embedding[, by]) -> by, ids, matrix (doubles, row by row): blocks of up to so many vectors, made where
+    they are read. Without `by` it is 0. Rows without an embedding are left out."""
+    kind = dict(rows.dtypes)[key]
+    some = rows.where("embedding is not null").select(F.lit(0).alias("by") if by is None else F.col(by).cast("int").alias("by"), key, "embedding")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list] = {}
+
+        def block(of: int) -> pa.RecordBatch:
+            ids = pa.chunked_array([x[0] for x in held[of]]).combine_chunks()
+            matrix = np.concatenate([x[1] for x in held[of]])
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            del held[of]
+            return pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), lists, pa.array([matrix.tobytes()], pa.binary())], ["by", "ids", "matrix"])
+
+        for b in batches:
+            of = b.column(0).to_numpy()
+            matrix = np.stack([np.asarray(x, np.float64) for x in b.column(2).to_numpy(zero_copy_only=False)]) if b.num_rows else np.zeros((0, 1))
+            for c in np.unique(of).tolist():
+                at = np.flatnonzero(of == c)
+                held.setdefault(c, []).append((b.column(1).take(pa.array(at)), matrix[at]))
+                if sum(len(x[0]) for x in held[c]) >= size:
+                    yield block(c)
+        for c in list(held):
+            yield block(c)
+
+    return some.mapInArrow(run, f"by int, ids array<{kind}>, matrix binary")
+
+
+def best_of_blocks(met: DataFrame, k: int, qkind: str, key: str, kind: str, digits: int | None = None) -> DataFrame:
+    """Pairs of blocks (qids, qmatrix, ids, matrix) -> query_id, key, score: one matrix product a pair, and of each
+    query the k best of the block, by score (rounded, if digits are given) and then by key."""
+    names = ["query_id", key, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, q, qq = shared.value
         for b in batches:
-            if not b.num_rows or not len(ids):
-                continue
-            keys = b.column(0).to_numpy(zero_copy_only=False)
-            v = np.stack([np.asarray(x, np.float64) for x in b.column(1).to_numpy(zero_copy_only=False)])
-            s = 1 - np.maximum(0, qq[:, None] + (v * v).sum(axis=1)[None, :] - 2 * q @ v.T) / 2
-            for i, row in enumerate(s):
-                at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - 1e-9) if len(row) > k else np.arange(len(row))
-                exact = 1 - ((v[at] - q[i]) ** 2).sum(axis=1) / 2
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), ids[i])), pa.array(keys[at]), pa.array(exact)], ["query_id", key, "score"])
-
-    return top(vectors.select(key, "embedding").mapInArrow(run, f"query_id {qkind}, {key} {kind}, score double"), k, "query_id", tie=key), shared
+            for i in range(b.num_rows):
+                qids, ids = (b.column(c).slice(i, 1).flatten() for c in ("qids", "ids"))
+                q, v = (np.frombuffer(b.column(c)[i].as_buffer(), np.float64).reshape(len(n), -1) for c, n in (("qmatrix", qids), ("matrix", ids)))
+                s = 1 - np.maximum(0, (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * q @ v.T) / 2
+                order = np.argsort(np.argsort(np.array(ids.to_pylist()), kind="stable"), kind="stable")  # place of each key
+                width = 1e-9 if digits is None else 10.0**-digits
+                owner, place, scores = [], [], []
+                for j, row in enumerate(s):
+                    at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - width) if len(row) > k else np.arange(len(row))
+                    exact = 1 - ((v[at] - q[j]) ** 2).sum(axis=1) / 2
+                    exact = exact if digits is None else np.round(exact, digits)
+                    kept = np.lexsort((order[at], -exact))[:k]
+                    owner.append(np.full(len(kept), j))
+                    place.append(at[kept])
+                    scores.append(exact[kept])
+                if owner:
+                    yield pa.RecordBatch.from_arrays([qids.take(pa.array(np.concatenate(owner))), ids.take(pa.array(np.concatenate(place))), pa.array(np.concatenate(scores))], names)
+
+    return met.select("qids", "qmatrix", "ids", "matrix").mapInArrow(run, f"query_id {qkind}, {key} {kind}, score double")
+
+
+def nearest_batch(vectors: DataFrame, queries: DataFrame, k: int, key: str = "vec_id", most: int = QUERIES, digits: int | None = None) -> DataFrame:
+    """queries(query_id, embedding) -> query_id, key, score, rank: a block similarity join. Queries are dealt to
+    blocks of about `most`, vectors are packed to blocks where they are read; each pair of blocks is one matrix
+    product that passes on k rows a query, of which a window with a limit keeps the best. One block of
+    queries is broadcast, as its size is bounded; more are sent to the vectors' blocks by a join on
+    (block, salt), so no task holds more than a pair of blocks at a time. Nothing is collected."""
+    queries = queries.select("query_id", "embedding").where("embedding is not null")
+    qkind, kind = dict(queries.dtypes)["query_id"], dict(vectors.dtypes)[key]
+    n = queries.count()
+    parts = max(1, -(-n // most))
+    q = packed(queries.repartition(parts, F.col("query_id")), "query_id", 1 << 30).select("by", F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"))
+    v = packed(vectors, key, VECTORS)
+    if parts == 1:
+        met = v.join(F.broadcast(q), "by")  # one block of at most `most` queries
+    else:
+        salts = max(1, int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // parts)
+        q = q.drop("by").withColumn("block", F.monotonically_increasing_id()).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+        blocks = checkpointed(q)
+        each = [r.block for r in blocks.select("block").distinct().collect()]  # one number for each `most` queries
+        v = v.withColumn("block", F.explode(F.array(*map(F.lit, each)))).withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+        met = v.join(blocks, ["block", "salt"])
+    return top(best_of_blocks(met, k, qkind, key, kind, digits), k, "query_id", tie=key)

@@ -31,6 +31,36 @@ def words(text: str, pattern: str) -> list[tuple[str, int]]:
     return [(w, i) for i, w in enumerate(found) if w not in STOP_WORDS and len(w) <= LONGEST]
 
 
+def windows(places: Column, terms: list[str], slop: int) -> Column:
+    """How often the parts of a phrase stand near each other: the sum of 1 / (1 + moves) over least windows.
+
+    places: array<struct<start, part, at>>, a word's place `at` less its part's place in the phrase, so that
+    parts that stand as in the phrase have one start, and the moves that bring them there are the
+    largest start less the smallest. Every place opens a window with the next place of each other part
+    (of equal starts the earlier part comes first). It counts if its moves are within the slop, if it is
+    least (its own part has no other place up to the next part's), and if parts of the same word use
+    different places. One fold from the last place to the first holds a pointer for each part."""
+    n = len(terms)
+    again = [(j, k) for j in range(n) for k in range(j) if terms[j] == terms[k]]
+    kind = "struct<starts:array<int>,ats:array<int>,tf:double>"
+
+    def step(s: Column, x: Column) -> Column:
+        starts = F.transform(s["starts"], lambda c, j: F.when(j == x["part"], x["start"]).otherwise(c))
+        ats = F.transform(s["ats"], lambda c, j: F.when(j == x["part"], x["at"]).otherwise(c))
+        others = F.filter(s["starts"], lambda c, j: j != x["part"])
+        own = F.get(s["starts"], x["part"])
+        moves = F.array_max(others) - x["start"]
+        counts = F.forall(others, lambda c: c.isNotNull()) & (moves <= slop) & (own.isNull() | (own > F.array_min(others)))
+        for j, k in again:
+            counts = counts & (F.get(ats, F.lit(j)) != F.get(ats, F.lit(k)))
+        tf = s["tf"] + F.when(counts, 1.0 / (1.0 + moves)).otherwise(0.0)
+        return F.struct(starts.alias("starts"), ats.alias("ats"), tf.alias("tf")).cast(kind)
+
+    none = F.array_repeat(F.lit(None).cast("int"), n)
+    start = F.struct(none.alias("starts"), none.alias("ats"), F.lit(0.0).alias("tf")).cast(kind)
+    return F.aggregate(F.reverse(F.array_sort(places)), start, step)["tf"]
+
+
 class Compiler:
     def __init__(self, index: Postings, length_norm: str = "exact"):
         self.index, self.norm = index, length_norm
@@ -62,23 +92,13 @@ class Compiler:
         return i
 
     def phrase(self, ws: list[tuple[str, int]], slop: int, boost: float) -> int:
-        """Places shifted by their offset in the phrase meet at one start; with slop, starts may
-        spread over so many places, each counting 1 / (1 + spread)."""
+        """Places shifted by their offset in the phrase meet at one start; with slop, near one."""
         i = self.leaf()
         first = ws[0][1]
-        wanted = reduce(DataFrame.union, [self._shifted(w, p - first, j) for j, (w, p) in enumerate(ws)])
         if slop:
-            starts = wanted.groupBy("chunk_id", "dl").agg(F.collect_list(F.struct("part", "starts")).alias("ps")).where(F.size("ps") == len(ws))
-            base = F.filter("ps", lambda p: p["part"] == 0)[0]["starts"]
-
-            def spread(s: Column) -> Column:
-                near = F.transform("ps", lambda p: F.array_min(F.transform(p["starts"], lambda x: F.abs(x - s))))
-                most = F.array_max(near)
-                return F.when(most <= slop, 1.0 / (1.0 + most)).otherwise(0.0)
-
-            tf = F.aggregate(F.transform(base, spread), F.lit(0.0), lambda a, x: a + x)
-            found = starts.select("chunk_id", "dl", tf.alias("tf")).where("tf > 0")
+            found = self._sloppy([(w, p - first) for w, p in ws], slop)
         else:
+            wanted = reduce(DataFrame.union, [self._shifted(w, p - first, j) for j, (w, p) in enumerate(ws)])
             starts = wanted.select("chunk_id", "dl", "part", F.explode("starts").alias("start"))
             at = starts.groupBy("chunk_id", "dl", "start").agg(F.countDistinct("part").alias("n")).where(F.col("n") == len(ws))
             found = at.groupBy("chunk_id", "dl").agg(F.count("*").alias("tf"))
@@ -98,6 +118,16 @@ class Compiler:
         rows = self.index.postings.where(F.col("term") == word)
         return rows.select("chunk_id", "dl", F.lit(part).alias("part"), F.transform("positions", lambda p: p - by).alias("starts"))
 
+    def _sloppy(self, ws: list[tuple[str, int]], slop: int) -> DataFrame:
+        """(word, place in the phrase) of each part -> chunk_id, dl, tf: one read of the words' postings, and one
+        fold over each chunk's places."""
+        spark = self.index.postings.sparkSession
+        parts = spark.createDataFrame([(w, j, by) for j, (w, by) in enumerate(ws)], "term string, part int, by int")
+        rows = self.index.postings.where(F.col("term").isin(sorted({w for w, _ in ws}))).join(F.broadcast(parts), "term")  # the phrase's words
+        place = F.transform("positions", lambda p: F.struct((p - F.col("by")).alias("start"), "part", p.alias("at")))
+        found = rows.groupBy("chunk_id", "dl").agg(F.flatten(F.collect_list(place)).alias("places"), F.count("*").alias("n")).where(F.col("n") == len(ws))
+        return found.select("chunk_id", "dl", windows(F.col("places"), [w for w, _ in ws], slop).alias("tf")).where("tf > 0")
+
     def fuzzy(self, node: Fuzzy) -> int:
         """Like its nearest terms, each boosted by 1 - distance / length of the shorter. Two neighbours that
         change places are one edit: the distance is the least over the query and its changed forms."""

@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from ..functions.embed import Embedder, HashEmbedder, embedded
 from ..functions.text import STANDARD
 from ..operators import bm25, fusion, knn, postings
-from ..operators.chunking import chunk_files, chunks_of
+from ..operators.chunking import chunk_files, chunks_of, cut_files, named
 from ..operators.upsert import upsert
 from ..sources import files
+from ..sources.tables import stored
 from . import compile as compiler
 from .querylang import Node, read
 
@@ -44,6 +45,7 @@ class Summary:
     chunks: int
     skipped: list[str]
     failed: list[str]
+    outcomes: DataFrame | None = None  # (path, outcome, chunks, error) of every file
 
 
 class Engine:
@@ -145,21 +147,17 @@ class Engine:
         return self.ingest_chunks(chunk_files(files.read_files(self.spark, [path]), self.chunker), vectors, mode)
 
     def ingest_folder(self, folder: str, vectors: bool = True, mode: str = "append") -> Summary:
-        """All readable files at any depth; one that can't be read doesn't stop the others."""
-        paths, bad = files.listing(folder), []
-        for p in list(paths):
-            try:
-                with open(p, "rb"):
-                    pass
-            except OSError:
-                paths.remove(p)
-                bad.append(p)
-        if not paths:
-            return Summary(0, 0, [], bad)
-        chunks = chunk_files(files.read_files(self.spark, paths), self.chunker)
-        n = self.ingest_chunks(chunks, vectors, mode)
-        used = {r[0] for r in self._read("chunks").select("source_path").distinct().collect()}  # names of the files listed here
-        return Summary(len(paths), n, [p for p in paths if p not in used], bad)
+        """All readable files at any depth; one that can't be read doesn't stop the others, on the driver or
+        in a task. Each file is read once, and its outcome comes from this call's rows alone."""
+        rows = stored(cut_files(files.scan(self.spark, folder), self.chunker), "ingested")
+        per = rows.groupBy("path").agg(F.count("content").alias("chunks"), F.first("error").alias("error"))
+        outcome = F.when(F.col("error").isNotNull(), "unreadable").when(F.col("chunks") == 0, "empty").otherwise("indexed")
+        outcomes = stored(per.select("path", outcome.alias("outcome"), "chunks", "error"), "outcomes")
+        counts = {r.outcome: r.n for r in outcomes.groupBy("outcome").agg(F.count("*").alias("n")).collect()}  # three rows at most
+        found = counts.get("indexed", 0) + counts.get("empty", 0)
+        n = self.ingest_chunks(named(rows.where("content is not null")), vectors, mode) if found else 0
+        bare = {k: [r.path for r in outcomes.where(F.col("outcome") == k).orderBy("path").collect()] if k in counts else [] for k in ("empty", "unreadable")}  # names to show
+        return Summary(found, n, bare["empty"], bare["unreadable"], outcomes)
 
     # -- search
 
@@ -179,14 +177,20 @@ class Engine:
         rows = chunks.join(F.broadcast(best.select("chunk_id", "score", "rank")), "chunk_id")  # k rows
         return rows.withColumnRenamed("chunk_number", "paragraph_number").select("rank", *RESULT, "chunk_id").orderBy("rank")
 
+    def _of_sources(self, rows: DataFrame, ids: list[str]) -> DataFrame:
+        """Rows of some sources: a short list is a filter that reaches the files, a longer one a semi join."""
+        if len(ids) <= 100:
+            return rows.where(F.col("source_id").isin(ids))
+        return rows.join(self.spark.createDataFrame([(i,) for i in set(ids)], "source_id string"), "source_id", "left_semi")
+
     def bm25(self, query: str | Node, k: int = 10, source_ids: Iterable[str] | None = None) -> DataFrame:
         x = self.index()
         scored = compiler.search(x, read(query) if isinstance(query, str) else query, self.length_norm)
         if ids := list(source_ids or []):
-            some = x.chunks.where(F.col("source_id").isin(ids)).select("chunk_id", "source_id")
+            some = self._of_sources(x.chunks, ids).select("chunk_id", "source_id")
             scored = scored.join(some, "chunk_id")
             if self.scored:
-                per = x.chunks.where(F.col("source_id").isin(ids)).groupBy("source_id").agg(F.count("*").alias("df"))
+                per = some.groupBy("source_id").agg(F.count("*").alias("df"))
                 scored = scored.join(F.broadcast(per), "source_id").join(F.broadcast(x.stats))
                 scored = scored.withColumn("score", F.col("score") + bm25.idf(F.col("df"), F.col("n_chunks")))
         return self._results(bm25.top(scored.select("chunk_id", "score"), k), x.chunks)
@@ -196,7 +200,7 @@ class Engine:
         if rows is None:
             raise FileNotFoundError(f"Vector database not found at {os.path.join(self.path, 'vectors')}")
         if ids := list(source_ids or []):
-            rows = rows.where(F.col("source_id").isin(ids))
+            rows = self._of_sources(rows, ids)
         q = self.embedder.embed([query])[0] if isinstance(query, str) else query
         best = knn.nearest(rows.select("chunk_id", "embedding"), q, k, "chunk_id")
         return self._results(best, rows.drop("embedding", "key"))

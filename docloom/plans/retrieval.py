@@ -9,9 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.embed import HashEmbedder, embedded
 from ..functions.text import SIMPLE, STOP_WORDS, basename, extension, is_blank, stem, tokens
-from ..operators import bm25, chunking, fusion, knn, postings
+from ..operators import bm25, bounds, cells, chunking, fusion, knn, postings
 from ..operators.upsert import upsert
-from ..sources.tables import load
+from ..sources.tables import load, stored
 from . import compile as compiler
 from .querylang import read
 
@@ -234,7 +234,29 @@ def _phrase_sql(words: list[str]) -> str:
 l as (select hit.doc_id, ({idfs}) * {WEIGHT.replace('dl /', 'dl.dl /')} s from hit join dl on dl.doc_id = hit.doc_id, st) {best('l')}"""
 
 
+def _slop_sql(words: list[str], slop: int) -> str:
+    """Every place opens a window with the next place of each other part."""
+    rows = ", ".join(f"('{w}', {i})" for i, w in enumerate(words))
+    idfs = " + ".join(f"(select {IDF} from df, st where term = '{w}')" for w in words)
+    n = len(words)
+    return f"""part(term, part) as (values {rows}),
+ev as (select doc_id, part.term, part, p - part s from tok join part on part.term = tok.term),
+ahead as (
+  select e.doc_id, e.term, e.part, e.s, o.term other, o.part op, min(o.s) c
+  from ev e join ev o on o.doc_id = e.doc_id and (o.s > e.s or (o.s = e.s and o.part > e.part)) group by all),
+win as (
+  select doc_id, part, s, count(*) filter (where op <> part) parts, max(c) filter (where op <> part) - s moves, min(c) filter (where op <> part) nearest,
+    min(c) filter (where op = part) own, count(distinct (other, c + op)) filter (where op <> part) places, bool_or(op <> part and other = term and c + op = s + part) shared
+  from ahead group by doc_id, part, s),
+hit as (
+  select doc_id, sum(1 / (1 + moves)::double) tf from win
+  where parts = {n - 1} and places = {n - 1} and not shared and moves <= {slop} and (own is null or own > nearest) group by doc_id),
+l as (select hit.doc_id, ({idfs}) * {WEIGHT.replace('dl /', 'dl.dl /')} s from hit join dl on dl.doc_id = hit.doc_id, st) {best('l')}"""
+
+
 text_query("bm25_phrase", '"eriner thanea"', _phrase_sql(["eriner", "thanea"]))
+text_query("bm25_phrase_slop", '"from ther"~6', _slop_sql(["from", "ther"], 6))
+text_query("bm25_phrase_slop_repeats", '"from ther from"~25', _slop_sql(["from", "ther", "from"], 25))
 _constant = "l as (select distinct doc_id, {boost}::double s from tok where {test}) " + best("l")
 text_query("bm25_prefix", "wher*", _constant.format(boost=1, test="starts_with(term, 'wher')"))
 text_query("bm25_wildcard", "wh?r*th^1.5", _constant.format(boost=1.5, test="regexp_full_match(term, 'wh.r.*th')"))
@@ -246,6 +268,25 @@ text_query("bm25_fuzzy", "wherth~1", f"""near as (select term, damerau_levenshte
 l as (select post.doc_id, sum(b * {IDF} * {WEIGHT.replace('dl /', 'dl.dl /')}) s from ex join df on df.term = ex.term join post on post.term = ex.term join dl on dl.doc_id = post.doc_id, st group by post.doc_id) {best('l')}""")
 
 
+def bounded(spark: SparkSession, sf: str, terms: dict[str, float], k: int = K) -> tuple[DataFrame, bounds.Reading]:
+    """Builds the tables of weights from the documents, as an index keeps them, and searches these."""
+    x = corpus(spark, sf)
+    rows = stored(x.postings.select("term", "chunk_id", "tf", "dl"), "postings")
+    return bounds.search(bounds.build(postings.Postings(x.chunks, rows, postings.frequencies(rows), x.stats, x.pattern)), terms, k)
+
+
+def bounded_query(name: str, terms: dict[str, float]) -> None:
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        got, _ = bounded(spark, sf, terms)
+        return got.select(F.col("chunk_id").alias("doc_id"), r6(F.col("score")).alias("score"), "rank")
+
+    QUERIES[name], SQL[name] = run, f"with {IDX},\n{leaf('l', terms)} {best('l')}"
+
+
+bounded_query("bm25_topk_bounded", dict.fromkeys(["ndly", "haha", "wher"], 1))
+bounded_query("bm25_topk_bounded_common", {"from": 1, "tion": 2.5, "ndly": 1})
+
+
 def _filtered(scored: bool) -> Query:
     ids = ["src3", "src7"]
 
@@ -298,6 +339,20 @@ def vector_topk(spark, sf):
     return best_.select("vec_id", r6(F.col("score")).alias("score"), "rank")
 
 
+@query(SQL["vector_topk"])
+def vector_cells_topk(spark, sf):
+    """The same by a coarse partition, exactly."""
+    best_, _ = cells.nearest(cells.build(load(spark, sf, "embeddings")), _query_vector(spark, sf), K)
+    return best_.select("vec_id", r6(F.col("score")).alias("score"), "rank")
+
+
+@query()
+def vector_probe_recall(spark, sf):
+    """Of the nearest neighbours of every fiftieth vector, how many a search of its nearest cells finds."""
+    v = load(spark, sf, "embeddings")
+    return cells.recall(cells.build(v), v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding"), K)
+
+
 @query(f"select v.vec_id, round(1 - {D2} / 2, 6) score, row_number() over (order by round(1 - {D2} / 2, 9) desc, v.vec_id)::integer rank from embeddings v, (select embedding from embeddings where vec_id = 7) q where v.label in (1, 4) order by rank limit {K}")
 def vector_source_filter(spark, sf):
     some = load(spark, sf, "embeddings").where(F.col("label").isin(1, 4))
@@ -309,8 +364,7 @@ r as (select *, row_number() over (partition by query_id order by score desc, ve
 def vector_batch_topk(spark, sf):
     v = load(spark, sf, "embeddings")
     q = v.where("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
-    wide = knn.nearest_batch(v, q, 3 * K)
-    best_ = bm25.top(wide.select("query_id", "vec_id", r6(F.col("score")).alias("score")), K, "query_id", tie="vec_id")
+    best_ = knn.nearest_batch(v, q, K, digits=6)
     return best_.select("query_id", "vec_id", "score", "rank")
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Callable
 
@@ -9,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension
+from .datasource import NAME, FileSource
 
 READERS = {".txt": "text", ".md": "markdown"}
 #: How other extensions' bytes become text, where it isn't `decoded`.
@@ -75,23 +77,30 @@ def text_of(path: Column, content: Column) -> Column:
     return out
 
 
+def _frame(spark: SparkSession, **options: str) -> DataFrame:
+    spark.dataSource.register(FileSource)
+    rows = spark.read.format(NAME).options(**options).load()
+    return rows.select("path", text_of(F.col("path"), F.col("content")).alias("content"), "error")
+
+
+def scan(spark: SparkSession, folder: str) -> DataFrame:
+    """(path, content, error) of all readable files below a folder, at any depth, hidden ones too; a file that
+    can't be read has an error and no content."""
+    if not os.path.isdir(folder):
+        raise NotADirectoryError(f"Folder not found: {folder}")
+    return _frame(spark, folder=folder, extensions=json.dumps(sorted(READERS)))
+
+
 def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
-    """(path, content): each path as it was given."""
+    """(path, content): each path as it was given; one that can't be read is an error."""
     for p in paths:
         if not os.path.exists(p):
             raise FileNotFoundError(f"File not found: {p}")
     if not paths:
         return spark.createDataFrame([], "path string, content string")
-    names = spark.createDataFrame([(os.path.abspath(p), p) for p in paths], "at string, given string")
-    plain = [p for p in paths if os.path.basename(p)[:1] not in "._"]
-    hidden = [p for p in paths if os.path.basename(p)[:1] in "._"]
-    frames = []
-    if plain:
-        rows = spark.read.format("binaryFile").load([f"file://{os.path.abspath(p)}" for p in plain])
-        rows = rows.select(F.regexp_replace(F.url_decode(F.replace("path", F.lit("+"), F.lit("%2B"))), "^file:/+", "/").alias("at"), "content")
-        frames.append(rows)
-    if hidden:  # Spark's file sources skip such names
-        data = [(os.path.abspath(p), bytearray(open(p, "rb").read())) for p in hidden]
-        frames.append(spark.createDataFrame(data, "at string, content binary"))
-    rows = frames[0] if len(frames) == 1 else frames[0].union(frames[1])
-    return rows.join(F.broadcast(names), "at").select(F.col("given").alias("path"), text_of(F.col("given"), F.col("content")).alias("content"))
+    rows = _frame(spark, paths=json.dumps([os.path.abspath(p) for p in paths]))
+    given = {os.path.abspath(p): p for p in paths if os.path.abspath(p) != p}
+    path = F.col("path")
+    for full, p in given.items():
+        path = F.when(F.col("path") == full, F.lit(p)).otherwise(path)
+    return rows.select(path.alias("path"), F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("content")).alias("content"))
