@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import STANDARD, tokens
 from ..sources.tables import checkpointed
+from .dictionary import Dictionary
 
 
 @dataclass
@@ -25,6 +26,7 @@ class Postings:
     terms: DataFrame
     stats: DataFrame
     pattern: str = STANDARD
+    dictionary: Dictionary | None = None  # tables that find terms like others, where they are kept
     scanned: DataFrame | None = None  # (chunk_id, content) that all this is computed from, if it isn't stored
 
     def cut(self, terms: list[str]) -> Postings:
@@ -32,7 +34,7 @@ class Postings:
         one pass over the texts that keeps, inside each row, these terms and the length."""
         if self.scanned is None:
             some = F.col("term").isin(terms)
-            return Postings(self.chunks, self.postings.where(some), self.terms.where(some), self.stats, self.pattern)
+            return Postings(self.chunks, self.postings.where(some), self.terms.where(some), self.stats, self.pattern, self.dictionary)
         rows = self.scanned.select("chunk_id", tokens(F.col("content"), self.pattern).alias("ts"))
         rows = checkpointed(rows.select("chunk_id", F.size("ts").alias("dl"), F.filter("ts", lambda t: t["term"].isin(terms)).alias("ts")))
         found = _grouped(rows.select("chunk_id", "dl", F.inline("ts")))
@@ -68,7 +70,7 @@ def frequencies(postings: DataFrame) -> DataFrame:
 
 def build(chunks: DataFrame, content: str = "content", pattern: str = STANDARD) -> Postings:
     rows = term_rows(chunks, content, pattern)
-    return Postings(chunks, rows, frequencies(rows), statistics(chunks, content, pattern), pattern, chunks.select("chunk_id", F.col(content).alias("content")))
+    return Postings(chunks, rows, frequencies(rows), statistics(chunks, content, pattern), pattern, scanned=chunks.select("chunk_id", F.col(content).alias("content")))
 
 
 def quantised(dl: Column) -> Column:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LONGEST, STOP_WORDS
 from ..operators.bm25 import idf, score_terms, weight
+from ..operators.dictionary import EDITS
 from ..operators.postings import Postings, quantised
 from .querylang import MUST, NOT, SHOULD, Bool, Everything, Fuzzy, Node, Pattern, Phrase, Range, Term
 
@@ -136,7 +137,9 @@ class Compiler:
             forms = {t[:i] + t[i + 1] + t[i] + t[i + 2 :]: n for t in forms for i in range(len(t) - 1)} | forms
         each = [F.levenshtein(F.col("term"), F.lit(t), node.edits - n) for t, n in forms.items()]
         d = F.array_min(F.array(*(F.when(e >= 0, e + n) for e, n in zip(each, forms.values()))))
-        near = self.index.terms.select("term", d.alias("d")).where("d is not null")
+        known = self.index.dictionary
+        terms = self.index.terms if known is None or node.edits > EDITS else known.like(node.text, node.edits)
+        near = terms.select("term", d.alias("d")).where("d is not null")
         share = 1 - F.col("d") / F.least(F.length("term"), F.lit(len(node.text)))
         near = near.withColumn("boost", node.boost * share).where("boost > 0").orderBy("d", "term").limit(EXPANSIONS)
         i = self.leaf()
@@ -182,6 +185,9 @@ class Compiler:
             return F.lit(False), F.lit(0.0)
         if isinstance(node, Fuzzy):
             return self.column(self.fuzzy(node))
+        known = self.index.dictionary if not name else None
+        if isinstance(node, Pattern) and known is not None:
+            return self.column(self.constant(self._posted(known.matching(node.regex)), boost))
         if isinstance(node, Pattern):
             return self.column(self.constant(source.where(column.rlike(rf"\A(?:{node.regex})\z")), boost))
         test = F.lit(True)
@@ -189,7 +195,11 @@ class Compiler:
             test = test & (column >= node.low if node.low_in else column > node.low)
         if node.high is not None:
             test = test & (column <= node.high if node.high_in else column < node.high)
-        return self.column(self.constant(source.where(test), boost))
+        return self.column(self.constant(source.where(test) if known is None else self._posted(known.terms.where(test)), boost))
+
+    def _posted(self, terms: DataFrame) -> DataFrame:
+        """The postings of some terms, each once: found by equality alone."""
+        return self.index.postings.join(terms.select("term"), "term", "left_semi")
 
     def column(self, i: int) -> tuple[Column, Column]:
         c = F.col(f"leaf_{i}")

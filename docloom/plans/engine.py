@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from ..functions.embed import Embedder, HashEmbedder, embedded
 from ..functions.text import STANDARD
-from ..operators import bm25, fusion, knn, postings
+from ..operators import bm25, dictionary, fusion, knn, postings
 from ..operators.chunking import chunk_files, chunks_of, cut_files, named
 from ..operators.upsert import upsert
 from ..sources import files
@@ -137,6 +137,8 @@ class Engine:
         elif known is not None and mode == "replace":
             at["vectors"] = [self._write(known, "vectors")]
         self._swap(**at)
+        if os.path.isdir(self._terms_at()):
+            dictionary.extend(self.spark, self._terms_at(), self.spark.read.parquet(os.path.join(self.path, added)))
         shutil.rmtree(os.path.join(self.path, staging), ignore_errors=True)
         return count
 
@@ -170,7 +172,16 @@ class Engine:
         chunks, posted, terms, stats = got  # of the last two, a part for each segment
         terms = terms.groupBy("term").agg(F.sum("df").alias("df"))
         stats = stats.agg(F.sum("n_chunks").alias("n_chunks"), F.sum("sum_len").alias("sum_len"))
-        return postings.Postings(chunks, posted, terms, stats, pattern=self.pattern)
+        known = dictionary.load(self.spark, self._terms_at()) if os.path.isdir(self._terms_at()) else None
+        return postings.Postings(chunks, posted, terms, stats, self.pattern, known)
+
+    def _terms_at(self) -> str:
+        return os.path.join(self.path, "dictionary")
+
+    def keep_dictionary(self) -> None:
+        """Keep tables that find terms by likeness or pattern; from now on they grow with the index."""
+        if not os.path.isdir(self._terms_at()):
+            dictionary.build(self.index().terms, self._terms_at())
 
     def _results(self, best: DataFrame, chunks: DataFrame) -> DataFrame:
         """Join the few best rows to what the index stores of them."""

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.embed import HashEmbedder, embedded
 from ..functions.text import SIMPLE, STOP_WORDS, basename, extension, is_blank, stem, tokens
-from ..operators import bm25, bounds, cells, chunking, fusion, knn, postings
+from ..operators import bm25, bounds, cells, chunking, dictionary, fusion, knn, postings
 from ..operators.upsert import upsert
 from ..sources.tables import load, stored
 from . import compile as compiler
@@ -268,6 +268,31 @@ text_query("bm25_fuzzy", "wherth~1", f"""near as (select term, damerau_levenshte
 l as (select post.doc_id, sum(b * {IDF} * {WEIGHT.replace('dl /', 'dl.dl /')}) s from ex join df on df.term = ex.term join post on post.term = ex.term join dl on dl.doc_id = post.doc_id, st group by post.doc_id) {best('l')}""")
 
 
+def kept(spark: SparkSession, sf: str) -> postings.Postings:
+    """The documents' index with stored postings and the dictionary's tables, as an index keeps them."""
+    x = corpus(spark, sf)
+    rows = stored(x.postings, "postings")
+    terms = stored(postings.frequencies(rows), "frequencies")
+    return postings.Postings(x.chunks, rows, terms, x.stats, x.pattern, dictionary.build(terms))
+
+
+def kept_query(name: str, of: str, text: str) -> None:
+    """A query of the dictionary's tables, with the SQL of the query `of`, which scans."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        got = bm25.top(compiler.search(kept(spark, sf), read(text)), K)
+        return got.select(F.col("chunk_id").alias("doc_id"), r6(F.col("score")).alias("score"), "rank")
+
+    QUERIES[name], SQL[name] = run, SQL[of]
+
+
+kept_query("bm25_fuzzy_deletions", "bm25_fuzzy", "wherth~1")
+kept_query("bm25_wildcard_grams", "bm25_wildcard", "wh?r*th^1.5")
+kept_query("bm25_regexp_grams", "bm25_regexp", "/wh(er|in)s[ht]+/")
+kept_query("bm25_prefix_terms", "bm25_prefix", "wher*")
+kept_query("bm25_range_terms", "bm25_range", "[whera TO wherd}")
+
+
 def bounded(spark: SparkSession, sf: str, terms: dict[str, float], k: int = K) -> tuple[DataFrame, bounds.Reading]:
     """Builds the tables of weights from the documents, as an index keeps them, and searches these."""
     x = corpus(spark, sf)
