@@ -7,9 +7,9 @@ has, for each term and band, its number of rows and its largest weight.
 A query reads its terms' ranges from the largest possible contribution down. The k-th best sum so far
 is a lower bound of the k-th score. Once the first unread ranges of all terms together can't reach it,
 no chunk that wasn't seen can be among the k best. Chunks that were seen, and could still be, are the
-candidates: their missing weights are read from the buckets they are in, or, where that would be more
-rows than all that is unread, the next ranges are. So no more rows are read than by a plain plan, and
-those of small weight, of which common terms have most, are read for few chunks only.
+candidates: their missing weights are read from the buckets they are in, or, where that would hardly be
+fewer rows than all that is unread, the next ranges are. So no more rows are read than by a plain plan,
+and those of small weight, of which common terms have most, are read for few chunks only.
 
 Weights are stored for the average length at the time, and bounds grow by the ratio if that has grown:
 tf / (tf + K) rises by no more than K falls.
@@ -34,6 +34,8 @@ BUCKETS, SHARE = 64, 4_000_000
 FIRST = 8
 #: What rounding may move a sum by.
 SLACK = 1e-9
+#: Digits of a sum that don't depend on its order.
+DIGITS = 12
 
 
 @dataclass
@@ -140,7 +142,7 @@ def search(x: Weights, terms: dict[str, float], k: int) -> tuple[DataFrame, Read
         parts.append(stored(_scored(x.by_weight.where(F.col("band").isin(sorted({f[2] for f in now}))).where(some), factor, avgdl), "seen"))
         seen = reduce(DataFrame.union, parts).groupBy("chunk_id").agg(F.sum("score").alias("score"), F.collect_set("term").alias("has"))
         if not left:  # all is read
-            return top(seen.select("chunk_id", "score"), k), read
+            return top(seen.select("chunk_id", F.round("score", DIGITS).alias("score")), k), read
         best = seen.select("score").orderBy(F.desc("score")).limit(k).collect()  # k rows
         rest = {t: max((f[0] for f in left if f[1] == t), default=0.0) for t in factor}
         read.least = best[-1].score if len(best) == k else 0.0
@@ -149,11 +151,11 @@ def search(x: Weights, terms: dict[str, float], k: int) -> tuple[DataFrame, Read
         may = F.aggregate(F.array_except(F.array(*[F.lit(t) for t in sorted(rest)]), F.col("has")), F.lit(0.0), lambda s, t: s + _of(rest, t))
         found = stored(seen.where((F.col("score") + may) * (1 + SLACK) >= read.least).select("chunk_id", bucket_of(F.col("chunk_id"), x.buckets).alias("of")), "candidates")
         buckets = [r[0] for r in found.select("of").distinct().collect()]  # the number of buckets at most
-        if len(buckets) * read.plain < x.buckets * sum(f[3] for f in left):
+        if 1.5 * len(buckets) * read.plain < x.buckets * sum(f[3] for f in left):  # fewer rows, also if they are dealt unevenly
             break
     read.candidates = found.count()
     looked = Observation()
     rows = x.by_chunk.where(F.col("bucket").isin(buckets) & F.col("term").isin(sorted(factor))).observe(looked, F.count(F.lit(1)).alias("n"))
     exact = stored(_scored(rows.join(found.select("chunk_id"), "chunk_id", "left_semi"), factor, avgdl), "exact")
     read.by_chunk = looked.get["n"]
-    return top(exact.groupBy("chunk_id").agg(F.sum("score").alias("score")), k), read
+    return top(exact.groupBy("chunk_id").agg(F.round(F.sum("score"), DIGITS).alias("score")), k), read

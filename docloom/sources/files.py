@@ -103,4 +103,4 @@ def read_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     path = F.col("path")
     for full, p in given.items():
         path = F.when(F.col("path") == full, F.lit(p)).otherwise(path)
-    return rows.select(path.alias("path"), F.when(F.col("error").isNotNull(), F.raise_error("error")).otherwise(F.col("content")).alias("content"))
+    return rows.select(path.alias("path"), F.when(F.col("error").isNotNull(), F.raise_error(F.col("error"))).otherwise(F.col("content")).alias("content"))
