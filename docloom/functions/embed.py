@@ -12,7 +12,7 @@ from collections.abc import Callable, Sequence
 from datetime import timezone
 from email.utils import parsedate_to_datetime
 from functools import lru_cache
-from typing import Protocol
+from typing import Protocol, runtime_checkable
 
 import numpy as np
 import pandas as pd
@@ -21,6 +21,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+@runtime_checkable
 class Embedder(Protocol):
     """Texts to vectors of one length; may be pickled to executors."""
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -9,9 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.embed import HashEmbedder, embedded
 from ..functions.text import SIMPLE, STOP_WORDS, basename, extension, is_blank, stem, tokens
-from ..operators import bm25, bounds, cells, chunking, dictionary, fusion, knn, postings
-from ..operators.upsert import upsert
-from ..sources.tables import load, stored
+from ..operators import bm25, bounds, cells, chunking, dictionary, fusion, knn, postings, tablefunctions
+from ..operators.upsert import BucketTable, upsert
+from ..sources.tables import load, shared_folder, stored
 from . import compile as compiler
 from .querylang import read
 
@@ -123,6 +124,20 @@ def paragraph_chunks_single_newline(spark, sf):
     return chunking.chunk_table(docs(spark, sf)).drop("source_path")
 
 
+def _plain_lines(text: str) -> list[str]:
+    """A user's chunker, as plain Python: lines without the white space around them."""
+    return [x for line in text.split("\n") if (x := line.strip(" \t\r"))]
+
+
+@query(SQL["paragraph_chunks_single_newline"])
+def paragraph_chunks_table_function(spark, sf):
+    """The same by a user's Python function, called laterally from SQL."""
+    tablefunctions.register(spark, "docloom_chunks", {"lines": _plain_lines})
+    docs(spark, sf).createOrReplaceTempView("docloom_texts")
+    return spark.sql("""select cast(d.doc_id as string) source_file, d.source source_id, c.chunk_number, c.content,
+      concat(cast(d.doc_id as string), '_', cast(c.chunk_number as string)) document_id from docloom_texts d, lateral docloom_chunks(d.text, 'lines') c""")
+
+
 PARA = "select conv_id, string_agg(text, chr(10) || chr(10) order by turn) t from conversations group by conv_id"
 
 
@@ -211,6 +226,21 @@ def token_positions(spark, sf):
     return docs(spark, sf).select("doc_id", F.inline(tokens(F.col("text"), SIMPLE)))
 
 
+#: Words of the standard analyser: what joins two letters, or two digits, is marked on both sides first, twice as two may share a letter.
+_MARKED = "lower(coalesce(text, ''))"
+for _ in range(2):
+    _MARKED = f"regexp_replace({_MARKED}, '([\\p{{L}}\\p{{M}}])([''’.:·])(\\p{{L}})', '\\1\ue000\\2\ue000\\3', 'g')"
+for _ in range(2):
+    _MARKED = f"regexp_replace({_MARKED}, '(\\p{{N}})([.,;])(\\p{{N}})', '\\1\ue000\\2\ue000\\3', 'g')"
+
+
+@query(f"""with w as (select doc_id, list_transform(regexp_extract_all(regexp_replace({_MARKED}, '(\\p{{Han}})', ' \\1 ', 'g'), '(?:[\\p{{L}}\\p{{M}}\\p{{N}}_]|\ue000[^\ue000]\ue000)+'), lambda x: replace(x, '\ue000', '')) ws from documents),
+p as (select doc_id, unnest(ws) term, unnest(range(0, len(ws)))::integer pos from w)
+select * from p where term not in ({STOP}) and length(term) <= 255""")
+def token_positions_standard(spark, sf):
+    return docs(spark, sf).select("doc_id", F.inline(tokens(F.col("text"))))
+
+
 # -- keyword search
 
 text_query("bm25_topk", "ndly haha wher", f"{leaf('l', dict.fromkeys(['ndly', 'haha', 'wher'], 1))} {best('l')}")
@@ -402,6 +432,16 @@ def vector_upsert(spark, sf):
     return out.select("vec_id", F.round(F.get("embedding", F.lit(0)), 6).cast("double").alias("first_value"), "label")
 
 
+@query(SQL["vector_upsert"])
+def vector_upsert_buckets(spark, sf):
+    """The same on a stored table, of which only touched buckets are rewritten."""
+    v = load(spark, sf, "embeddings")
+    table = BucketTable(spark, f"{shared_folder(spark)}/vectors-{uuid.uuid4().hex}", "vec_id", 16).create(v)
+    table.upsert(v.where("vec_id % 3 = 0").select("vec_id", F.transform("embedding", lambda x: -x).alias("embedding"), F.lit(99).cast(v.schema["label"].dataType).alias("label")))
+    table.upsert(v.where("vec_id % 7 = 0").select((F.col("vec_id") + 1000000).alias("vec_id"), F.slice("embedding", 2, 63).alias("embedding"), "label"))
+    return table.read().select("vec_id", F.round(F.get("embedding", F.lit(0)), 6).cast("double").alias("first_value"), F.col("label").cast("int").alias("label"))
+
+
 # -- fusion: BM25 over doc_id and nearest vectors over vec_id share one id
 
 FETCH = max(2 * K, 20)
