@@ -2,14 +2,15 @@
 
 Of a document's windows of 50 words, consecutive ones with the same anchor (the least hash of
 an 8-word piece) form a span, about 22 windows long. The index keeps one row for each distinct
-span that any document has had: (anchor, two hashes of the span's words, the document that had
-it first), in immutable runs, bucketed and sorted by anchor. Documents come in batches of
-ascending doc_id; a batch is merge-joined with the runs:
+span that any document has had: (anchor, x and y, which are 128 bits of the SHA-256 of the span's
+words, the document that had it first), in immutable runs, bucketed and sorted by these. Documents
+come in batches of ascending doc_id. A batch's anchors are merge-joined with each run as it lies
+(no shuffle and no sort of a run), which gives the index's rows of these anchors:
 
-* a span whose hashes are in the index, or in an earlier document of the batch, is a repeat;
+* a span whose words are among them, or in an earlier document of the batch, is a repeat;
 * a new span whose anchor also begins other spans may hold windows that repeat (at the ends of
-  a shared passage): its windows are compared one by one, by two hashes, with those of these
-  other spans, read again from their documents' texts;
+  a shared passage): its windows are compared one by one, by 128 bits of the SHA-256 of their words,
+  with those of these other spans, read again from their documents' texts;
 * spans that are new form the next run. Runs of equal level are merged two by two, as in a
   log-structured merge tree, so a batch meets few runs and a row is rewritten few times.
 
@@ -35,10 +36,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import windows as W
-from .common import discard, materialize, shared_dir
+from .common import discard, materialize, settings, shared_dir
 
-BATCHES = 2
+#: Batches of the documents: so many that runs are merged on the way.
+BATCHES = 4
 KEY = ["anchor", "x", "y"]
+#: A run is read bucket by bucket in its own order, and what it is joined with is dealt as it is.
+MERGED = {
+    "spark.sql.requireAllClusterKeysForCoPartition": "false", "spark.sql.legacy.bucketedTableScan.outputOrdering": "true",
+    "spark.sql.sources.bucketing.autoBucketedScan.enabled": "false",
+}
 
 
 def _longs(*columns: np.ndarray) -> list[pa.Array]:
@@ -56,9 +63,10 @@ def spans(docs: DataFrame) -> DataFrame:
         for b in batches:
             parts = []
             for doc_id, text in zip(b.column(0).to_pylist(), b.column(1)):
-                a, _, _, x, y = W.spans(W.word_hashes(W.split(text.as_py())))
+                w = W.split(text.as_py())
+                a, first, last = W.spans(W.word_hashes(w))
                 if len(a):
-                    a, x, y = np.unique(np.stack([a, x, y]), axis=1)
+                    a, x, y = np.unique(np.stack([a, *W.identities(w, first, last)]), axis=1)
                     parts.append((a, x, y, np.full(len(a), doc_id, np.int64)))
             if parts:
                 yield _batch_of(parts, [*KEY, "doc_id"])
@@ -66,23 +74,41 @@ def spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.col("text").cast("binary").alias("text")).where("doc_id is not null").mapInArrow(run, "anchor bigint, x bigint, y bigint, doc_id bigint")
 
 
+def _among(x: np.ndarray, y: np.ndarray, wanted: pa.Scalar) -> np.ndarray:
+    """Which of the identities are in a list of structs."""
+    known = wanted.values
+    pair = np.dtype([("x", np.int64), ("y", np.int64)])
+
+    def pairs(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        out = np.empty(len(a), pair)
+        out["x"], out["y"] = a, b
+        return out
+
+    return np.isin(pairs(x.view(np.int64), y.view(np.int64)), pairs(*(known.field(i).to_numpy() for i in (0, 1))))
+
+
+def _each(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """All windows from first to last."""
+    return np.concatenate([np.zeros(0, np.int64), *(np.arange(i, j + 1) for i, j in zip(first, last))])
+
+
 def windows_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The distinct windows (v, w) of the wanted (doc_id, x) spans."""
-    lists = wanted.groupBy("doc_id").agg(F.collect_set("x").alias("xs"))
+    """The distinct windows (v, w) of the wanted (doc_id, x, y) spans."""
+    lists = wanted.groupBy("doc_id").agg(F.collect_set(F.struct("x", "y")).alias("xs"))
     rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(lists, "doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             parts = []
             for doc_id, text, xs in zip(b.column(0).to_pylist(), b.column(1), b.column(2)):
-                h = W.word_hashes(W.split(text.as_py()))
-                _, first, last, x, _ = W.spans(h)
-                if not len(x):
+                w = W.split(text.as_py())
+                a, first, last = W.spans(W.word_hashes(w))
+                if not len(a):
                     continue
-                hit = np.isin(x.view(np.int64), xs.values.to_numpy())
-                at = np.concatenate([np.zeros(0, np.int64), *(np.arange(i, j + 1) for i, j in zip(first[hit], last[hit]))])
-                v, w = np.unique(np.stack([d[at] for d in W.digests(h)]), axis=1)
-                parts.append((v, w, np.full(len(v), doc_id, np.int64)))
+                hit = _among(*W.identities(w, first, last), xs)
+                at = _each(first[hit], last[hit])
+                v = np.unique(np.stack(W.identities(w, at, at)), axis=1)
+                parts.append((v[0], v[1], np.full(v.shape[1], doc_id, np.int64)))
             if parts:
                 yield _batch_of(parts, ["v", "w", "doc_id"])
 
@@ -101,15 +127,14 @@ def cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
                 w = W.split(text.as_py())
                 left = w
                 if xs.is_valid or vs.is_valid:
-                    h = W.word_hashes(w)
                     edge = np.zeros(len(w) + 1, np.int64)
-                    _, first, last, x, _ = W.spans(h)
-                    if xs.is_valid:
-                        hit = np.isin(x.view(np.int64), xs.values.to_numpy())
-                        np.add.at(edge, first[hit], 1)
-                        np.add.at(edge, last[hit] + W.WINDOW, -1)
+                    _, first, last = W.spans(W.word_hashes(w))
+                    hit = _among(*W.identities(w, first, last), xs) if xs.is_valid else np.zeros(len(first), bool)
+                    np.add.at(edge, first[hit], 1)
+                    np.add.at(edge, last[hit] + W.WINDOW, -1)
                     if vs.is_valid:
-                        at = np.flatnonzero(np.isin(W.digests(h)[0].view(np.int64), vs.values.to_numpy()))
+                        at = _each(first[~hit], last[~hit])
+                        at = at[_among(*W.identities(w, at, at), vs)]
                         np.add.at(edge, at, 1)
                         np.add.at(edge, at + W.WINDOW, -1)
                     left = [w[i] for i in np.flatnonzero(np.cumsum(edge[:-1]) == 0).tolist()]
@@ -122,20 +147,28 @@ def cut(docs: DataFrame, gone: DataFrame) -> DataFrame:
 
 
 class Index:
-    """Immutable runs of spans, each a table bucketed and sorted by anchor."""
+    """Immutable runs of spans, each a table bucketed by anchor and sorted by all its key."""
 
     def __init__(self, spark: SparkSession, buckets: int | None = None):
         self.spark, self.runs = spark, []  # (level, table)
         self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
 
-    def rows(self) -> DataFrame | None:
-        tables = [self.spark.table(t).select(*KEY, "doc_id") for _, t in self.runs]
-        return reduce(DataFrame.union, tables) if tables else None
+    def alike(self, run: str, anchors: DataFrame) -> DataFrame:
+        """A run's rows of some (distinct) anchors, by a merge join: under MERGED the run is read as it lies."""
+        return self.spark.table(run).hint("merge").join(anchors, "anchor", "left_semi").select(*KEY, "doc_id")
+
+    def known(self, anchors: DataFrame) -> DataFrame | None:
+        """What all runs hold of some anchors; each run is joined by itself."""
+        if not self.runs:
+            return None
+        with settings(self.spark, MERGED):
+            parts = [materialize(self.alike(t, anchors), "known") for _, t in self.runs]
+        return reduce(DataFrame.union, parts)
 
     def _write(self, rows: DataFrame, level: int) -> None:
         name = f"docloom_run_{uuid.uuid4().hex}"
-        dealt = rows.select(*KEY, "doc_id").repartition(self.buckets, "anchor").sortWithinPartitions("anchor", "x")
-        dealt.write.bucketBy(self.buckets, "anchor").sortBy("anchor", "x").option("path", f"{shared_dir(self.spark)}/{name}").option("compression", "zstd").saveAsTable(name)
+        dealt = rows.select(*KEY, "doc_id").repartition(self.buckets, "anchor").sortWithinPartitions(*KEY)
+        dealt.write.bucketBy(self.buckets, "anchor").sortBy(*KEY).option("path", f"{shared_dir(self.spark)}/{name}").option("compression", "zstd").saveAsTable(name)
         self.runs.append((level, name))
 
     def append(self, rows: DataFrame) -> None:
@@ -144,7 +177,7 @@ class Index:
         while len(self.runs) > 1 and self.runs[-1][0] == self.runs[-2][0]:
             (level, a), (_, b) = self.runs[-2:]
             self.runs = self.runs[:-2]
-            self._write(self.spark.table(a).union(self.spark.table(b)), level + 1)
+            self._write(self.spark.read.parquet(*(f"{shared_dir(self.spark)}/{x}" for x in (a, b))), level + 1)
             for old in (a, b):
                 self.drop(old)
 
@@ -166,7 +199,7 @@ class Index:
         for level, name in self.runs:
             rows = self.spark.table(name)
             at = f"{path}/{name}"
-            rows.repartition(self.buckets, "anchor").sortWithinPartitions("anchor", "x").write.mode("overwrite").option("compression", "zstd").parquet(at)
+            rows.repartition(self.buckets, "anchor").sortWithinPartitions(*KEY).write.mode("overwrite").option("compression", "zstd").parquet(at)
             kept.append((level, at))
         self.spark.createDataFrame(kept, "level int, path string").coalesce(1).write.mode("overwrite").parquet(f"{path}/manifest")
 
@@ -181,42 +214,40 @@ class Index:
     def add(self, batch: DataFrame, archive: DataFrame, last: bool = False) -> DataFrame:
         """Dedup a batch (doc_id, text) whose doc_ids are above all that the index has seen, and
         (unless it is the last) add it; archive(doc_id, text) has the texts of those. -> gone(doc_id,
-        spans, windows): first hashes of the batch's spans and single windows that are repeats."""
+        spans, windows): identities of the batch's spans and single windows that are repeats."""
         own = materialize(spans(batch), "spans")
-        firsts = own.groupBy(*KEY).agg(F.min("doc_id").alias("first"))
-        before = self.rows()
+        firsts = materialize(own.groupBy(*KEY).agg(F.min("doc_id").alias("first")), "firsts")
+        before = self.known(firsts.select("anchor").distinct())
+        marked = firsts.withColumn("old", F.lit(None).cast("boolean"))
         if before is not None:
-            known = before.select(*KEY, F.lit(True).alias("old"))
-            firsts = firsts.join(known, KEY, "left")
-        else:
-            firsts = firsts.withColumn("old", F.lit(None).cast("boolean"))
-        firsts = materialize(firsts, "firsts")
-        new = firsts.where("old is null").select(*KEY, F.col("first").alias("doc_id"))
-        repeats = own.join(firsts, KEY).where("old or doc_id > first")
-        whole = repeats.select("doc_id", "x")
+            marked = firsts.join(before.select(*KEY, F.lit(True).alias("old")), KEY, "left")
+        marked = materialize(marked, "marked")
+        new = marked.where("old is null").select(*KEY, F.col("first").alias("doc_id"))
+        repeats = own.join(marked, KEY).where("old or doc_id > first")
+        whole = repeats.select("doc_id", "x", "y")
 
         # anchors that begin several different spans, of which one is new
-        each = new.groupBy("anchor").agg(F.count("*").alias("n"), F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
+        each = new.groupBy("anchor").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high"))
         if before is not None:
-            seen = before.select("anchor").distinct().withColumn("old", F.lit(True))
-            each = each.join(seen, "anchor", "left")
+            each = each.join(before.select("anchor").distinct().withColumn("old", F.lit(True)), "anchor", "left")
         else:
             each = each.withColumn("old", F.lit(None).cast("boolean"))
         mixed = materialize(each.where("old or low <> high").select("anchor", "old"), "mixed")
-        wanted = new.join(mixed, "anchor", "left_semi").select("doc_id", "x")
-        found = windows_of(batch, wanted).withColumn("fresh", F.lit(True))
+        found = windows_of(batch, new.join(mixed, "anchor", "left_semi").select("doc_id", "x", "y")).withColumn("fresh", F.lit(True))
         if before is not None:
-            past = before.join(mixed.where("old"), "anchor", "left_semi").select("doc_id", "x")
+            past = before.join(mixed.where("old"), "anchor", "left_semi").select("doc_id", "x", "y")
             found = found.union(windows_of(archive, past).withColumn("fresh", F.lit(False)))
         found = materialize(found, "windows")
         starts = found.groupBy("v", "w").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last")
-        single = found.join(starts, ["v", "w"]).where("fresh and doc_id > first").select("doc_id", "v")
-        marks = whole.select("doc_id", "x", F.lit(None).cast("bigint").alias("v")).union(single.select("doc_id", F.lit(None).cast("bigint"), "v"))
+        single = found.join(starts, ["v", "w"]).where("fresh and doc_id > first").select("doc_id", F.struct(F.col("v").alias("x"), F.col("w").alias("y")).alias("v"))
+        span = F.struct("x", "y")
+        none = F.lit(None).cast("struct<x:bigint,y:bigint>")
+        marks = whole.select("doc_id", span.alias("x"), none.alias("v")).union(single.select("doc_id", none, "v"))
         lists = marks.groupBy("doc_id").agg(F.collect_set("x").alias("spans"), F.collect_set("v").alias("windows"))
         gone = materialize(lists, "gone")
         if not last:
             self.append(new)
-        discard(own, firsts, mixed, found)
+        discard(own, firsts, marked, mixed, found, *([before] if before is not None else []))
         return gone
 
 

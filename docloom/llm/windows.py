@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import xxhash
 
@@ -61,22 +63,25 @@ def anchors(h: np.ndarray) -> np.ndarray:
 
 
 def spans(h: np.ndarray) -> tuple[np.ndarray, ...]:
-    """Stretches of consecutive windows of one anchor, at most WINDOW - PIECE + 1 each: anchor,
-    first window, last window, and two independent hashes of all words that they cover (which
-    the first and the last window cover together)."""
+    """Stretches of consecutive windows of one anchor, at most WINDOW - PIECE + 1 each: anchor, first
+    window, last window (the first and the last window cover all words of a stretch together)."""
     a = anchors(h)
     if not len(a):
-        return (a, *[np.zeros(0, np.int64)] * 2, a, a)
+        return (a, *[np.zeros(0, np.int64)] * 2)
     start = np.flatnonzero(np.append(True, a[1:] != a[:-1]))
     most = WINDOW - PIECE + 1
     parts = -(-np.diff(np.append(start, len(a))) // most)
     first = np.repeat(start, parts) + most * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
-    last = np.append(first[1:], len(a)) - 1
-    size = (last - first).astype(np.uint64)
-    x, y = (_mixed(w[first] * b + w[last] * _MIX + size) for w, b in zip(digests(h), _BASES))
-    return a[first], first, last, x, y
-
-
-def digests(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Two independent hashes of every window."""
-    return rolled(h, WINDOW, _BASES[0]), rolled(h, WINDOW, _BASES[1])
+    return a[first], first, np.append(first[1:], len(a)) - 1
+
+
+def identities(w: list[bytes], first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """128 bits of the SHA-256 of the words that the windows from `first` to `last` cover, one space between
+    two, as two columns: the identity of the words themselves, whatever their hashes."""
+    joined = b" ".join(w)
+    at = np.cumsum(np.fromiter(map(len, w), np.int64, len(w)) + 1)
+    begin = (at[first] - [len(w[i]) + 1 for i in first.tolist()]).tolist() if len(first) else []
+    end = (at[last + WINDOW - 1] - 1).tolist() if len(last) else []
+    sha = hashlib.sha256
+    both = np.frombuffer(b"".join([sha(joined[a:b]).digest()[:16] for a, b in zip(begin, end)]), np.uint64).reshape(-1, 2)
+    return both[:, 0].copy(), both[:, 1].copy()

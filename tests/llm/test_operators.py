@@ -391,7 +391,7 @@ def brute_substrings(rows):
     return Counter(out)
 
 
-@pytest.mark.parametrize("batches", [1, 2, 4])
+@pytest.mark.parametrize("batches", [1, 2, 4, 7])
 def test_substrings(docs, plain, none, batches):
     want = brute_substrings(plain)
     assert Counter(tuple(r) for r in substrings.dedup(docs, batches).collect()) == want
@@ -416,6 +416,23 @@ def test_index_is_reopened(spark, tmp_path):
     assert Counter(map(tuple, got)) == brute_substrings(rows) and any(r.n_removed for r in got if r.doc_id >= 4)
 
 
+def test_runs_are_read_as_they_lie(spark):
+    """The join of a batch with a run neither shuffles nor sorts the run."""
+    index = substrings.Index(spark, 3)
+    for k in (0, 100):
+        index.append(spark.range(k, k + 50).selectExpr("id * 7 anchor", "id x", "id y", "id doc_id"))
+    asked = spark.range(0, 900, 14).selectExpr("id anchor")
+    with substrings.settings(spark, substrings.MERGED):
+        df = index.alike(index.runs[0][1], asked)
+        got = {r.anchor for r in df.collect()}
+        plan = df._jdf.queryExecution().executedPlan().toString()
+    assert got == {a for k in (0, 100) for a in range(k * 7, (k + 50) * 7, 7) if a % 14 == 0 and a < 900}
+    assert "SortMergeJoin" in plan and "Bucketed: true" in plan
+    above = plan[plan.index("SortMergeJoin") : plan.index("docloom_run")]
+    assert "Exchange" not in above and "Sort [" not in above
+    index.close()
+
+
 def test_runs_are_merged(spark):
     index = substrings.Index(spark, 2)
     for k in range(5):
