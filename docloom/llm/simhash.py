@@ -10,7 +10,8 @@ The 2081 variants are not shuffled one by one. The 64 bits are cut into 16 group
 parities of the groups are a 16-bit hash of a variant, and a variant's parities differ from
 its fingerprint's in at most 2 groups. One row (parities, fingerprint) therefore stands for
 all variants of a fingerprint with these parities: 137 rows instead of 2081. They are shuffled
-on the parities, and expanded to variants, in slices of bounded size, where they have arrived.
+on the parities, and expanded to variants where they have arrived, in slices of bounded size; parities that
+very many fingerprints share are taken in several turns, each with its share of the variants.
 
 Defined results: null and empty text have fingerprint zero, and are linked like any other;
 a text of fewer words than a shingle is one shingle; equal fingerprints share a component;
@@ -59,6 +60,9 @@ _FLIPS += [_combined(_BITS[g]) for g in range(GROUPS)] + [_combined(_BITS[a], _B
 _ODD = np.array([bin(x).count("1") & 1 for x in range(1 << WIDTH)], np.uint16)
 
 
+_ODDS = np.uint64(0x9E3779B97F4A7C15)
+
+
 def simhash(text: bytes | None, shingle: int = SHINGLE) -> int:
     """The fingerprint of a UTF-8 text, unsigned."""
     w = (text or b"").lower().split()  # of bytes: lower-cases A-Z, splits at ASCII white space
@@ -95,8 +99,9 @@ def parities(fp: np.ndarray) -> np.ndarray:
     return out
 
 
-def _meetings(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Links between fingerprints (ascending in each key) that share a variant of these parities."""
+def _meetings(key: np.ndarray, fp: np.ndarray, turns: int = 1, turn: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links between fingerprints (ascending in each key) that share a variant of these parities; of so many
+    turns, each takes its share of the variants, by their leading bits when mixed."""
     mask = key ^ parities(fp)
     kinds, kind = np.unique(mask, return_inverse=True)
     order = {int(m): i for i, m in enumerate(_MASKS)}
@@ -104,8 +109,13 @@ def _meetings(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     for i, m in enumerate(kinds):
         own = fp[kind == i]
         flips = _FLIPS[order[int(m)]]
-        found.append((own[:, None] ^ flips[None, :]).ravel())
-        owner.append(np.repeat(own, len(flips)))
+        for part in np.array_split(own, -(-len(own) // SLICE)):
+            v, o = (part[:, None] ^ flips[None, :]).ravel(), np.repeat(part, len(flips))
+            if turns > 1:
+                mine = (v * _ODDS >> np.uint64(40)) % np.uint64(turns) == turn
+                v, o = v[mine], o[mine]
+            found.append(v)
+            owner.append(o)
     v, o = np.concatenate(found), np.concatenate(owner)
     at = np.argsort(v, kind="stable")
     v, o = v[at], o[at]
@@ -158,7 +168,9 @@ def links(prints: DataFrame) -> DataFrame:
         ends = np.flatnonzero(np.append(key[1:] != key[:-1], True)) + 1
         cuts = np.unique(ends[np.minimum(np.searchsorted(ends, np.arange(SLICE, len(key) + SLICE, SLICE)), len(ends) - 1)])
         slices = zip(np.append(0, cuts[:-1]), cuts)
-        u, v = _forest(_meetings(key[a:b], fp[a:b]) for a, b in slices)
+        # a slice ends where a key does; a key of many more rows is taken in several turns, each with a share of the variants
+        turns = ((a, b, n, t) for a, b in slices for n in [max(1, int(b - a) // (2 * SLICE))] for t in range(n))
+        u, v = _forest(_meetings(key[a:b], fp[a:b], n, t) for a, b, n, t in turns)
         cols = [pa.array(np.array(x, np.uint64).view(np.int64)) for x in (u, v)]
         yield pa.RecordBatch.from_arrays(cols, ["u", "v"])
 

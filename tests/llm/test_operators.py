@@ -322,6 +322,23 @@ def test_balls_find_all_links(spark):
     assert groups(want) == groups(mine)
 
 
+@pytest.mark.parametrize("turns", [2, 5])
+def test_turns_find_what_one_does(turns):
+    """A key's variants taken in turns link the same fingerprints."""
+    import numpy as np
+
+    rng = np.random.default_rng(turns)
+    base = rng.integers(0, 2**63, 40, dtype=np.uint64)
+    fp = np.unique(np.concatenate([base] + [base ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) ^ (np.uint64(1) << rng.integers(0, 64, 40, dtype=np.uint64)) for _ in range(6)]))
+    key = (simhash.parities(fp)[:, None] ^ simhash._MASKS[None, :]).ravel()
+    own = np.repeat(fp, len(simhash._MASKS))
+    at = np.lexsort((own, key))
+    key, own = key[at], own[at]
+    whole = simhash._forest([simhash._meetings(key, own)])
+    parts = simhash._forest(simhash._meetings(key, own, turns, t) for t in range(turns))
+    assert dict(zip(*whole)) == dict(zip(*parts)) and len(whole[0]) > 100
+
+
 def test_simhash_of_documents(docs, plain, none):
     def slow(t):
         w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
