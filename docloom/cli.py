@@ -54,10 +54,8 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
                 s = engine.ingest_folder(args.content_path, mode=args.mode)
                 if not s.found:
                     print(f"No supported files found in {args.content_path}")
-                for x in s.skipped:
-                    print(f"Skipped (no content): {x}")
-                for x in s.failed:
-                    print(f"Error ingesting {x}")
+                for r in s.outcomes.orderBy("path").toLocalIterator() if s.outcomes else ():  # a part at a time
+                    print({"indexed": f"Ingested {r.path} ({r.chunks} chunks)", "empty": f"Skipped (no content): {r.path}"}.get(r.outcome, f"Error ingesting {r.path}: {r.error}"))
                 print(f"Indexed {s.chunks} chunks from {s.found} files")
             else:
                 print(f"Indexed {engine.ingest_file(args.content_path, mode=args.mode)} chunks")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: English words that the standard analyser of the index drops.
@@ -40,8 +40,27 @@ def stem(path: Column) -> Column:
     return F.regexp_replace(basename(path), r"\.[^.]*$", "")
 
 
+def _words(text: Column, pattern: str) -> Column:
+    return F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
+
+
+def _counts(word: Column) -> Column:
+    return ~word.isin(STOP_WORDS) & ((F.octet_length(word) <= LONGEST) | (F.length(word) <= LONGEST))
+
+
+def _placed(words: Column) -> Column:
+    return F.transform(words, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
+
+
 def tokens(text: Column, pattern: str = STANDARD) -> Column:
     """array<struct<term, pos>>: lower-cased words with their places; stop words leave gaps."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(pattern), F.lit(0))
-    placed = F.transform(found, lambda t, i: F.struct(t.alias("term"), i.alias("pos")))
-    return F.filter(placed, lambda t: ~t["term"].isin(STOP_WORDS) & (F.length(t["term"]) <= LONGEST))
+    return F.filter(_placed(_words(text, pattern)), lambda t: _counts(t["term"]))
+
+
+def named_tokens(rows: DataFrame, text: str, terms: list[str], pattern: str = STANDARD) -> DataFrame:
+    """rows(..., text) -> the other columns, dl (how many tokens a text has) and ts (those of the named terms): places
+    are only made where one of them occurs."""
+    rows = rows.withColumn("_words", _words(F.col(text), pattern)).drop(text)
+    named = F.filter(_placed(F.col("_words")), lambda t: t["term"].isin(terms) & _counts(t["term"]))
+    hit = F.when(F.arrays_overlap("_words", F.array(*map(F.lit, terms))), named) if terms else F.lit(None)
+    return rows.withColumn("dl", F.size(F.filter("_words", _counts))).withColumn("ts", F.coalesce(hit.cast("array<struct<term:string,pos:int>>"), F.array().cast("array<struct<term:string,pos:int>>"))).drop("_words")

@@ -11,7 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import STANDARD, tokens
+from ..functions.text import STANDARD, named_tokens, tokens
 from ..sources.tables import checkpointed
 from .dictionary import Dictionary
 
@@ -35,8 +35,7 @@ class Postings:
         if self.scanned is None:
             some = F.col("term").isin(terms)
             return Postings(self.chunks, self.postings.where(some), self.terms.where(some), self.stats, self.pattern, self.dictionary)
-        rows = self.scanned.select("chunk_id", tokens(F.col("content"), self.pattern).alias("ts"))
-        rows = checkpointed(rows.select("chunk_id", F.size("ts").alias("dl"), F.filter("ts", lambda t: t["term"].isin(terms)).alias("ts")))
+        rows = checkpointed(named_tokens(self.scanned.select("chunk_id", "content"), "content", terms, self.pattern))
         found = _grouped(rows.select("chunk_id", "dl", F.inline("ts")))
         return Postings(self.chunks, found, frequencies(found), _counted(rows), self.pattern)
 
