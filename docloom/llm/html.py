@@ -9,8 +9,10 @@ where or what kind of box it is ("comments", "site-nav", "share-buttons"; not "h
 
 A line's weight is its text outside links; sums of weights over sliding windows of `WINDOW` lines
 rise at a surge point where text begins and are zero at the dive point after it. Text between
-the two is kept: where the page says which part is its article, all regions of that part, and
-only they; elsewhere all from the first surge to the last dive of the main container. That is
+the two is kept: where the page says which part is its article, the regions of that part, and blocks
+that hold text of their own apart from these, so that a list of links inside it goes (WINDOW lines or
+more of nothing but links; fewer are part of the text around them); elsewhere all from the first surge
+to the last dive of the main container. That is
 found by weight: from the page on, step by step, the container that holds `MAJOR` of what is
 around it in several blocks, so that a short box beside the article is left out even where no
 name tells what it is. Gaps of elements that were dropped inside that container are no boundary
@@ -272,9 +274,11 @@ def main_text(page: str | None, by_name: bool = True) -> str:
     if marked:
         lines = [x if x[2] else ("", 0, False, x[3]) for x in lines]
     spans = regions(lines)
-    if marked:  # all from its first surge to its last dive, and short blocks apart from these
-        low, high = (spans[0][0], spans[-1][1]) if spans else (0, len(lines))
-        at = [i for i, x in enumerate(lines) if low <= i < high or x[1]]
+    if marked:  # its regions, and blocks of text apart from these; lists of links between regions go
+        within = [False] * len(lines)
+        for a, b in spans or [(0, len(lines))]:
+            within[a:b] = [True] * (b - a)
+        at = [i for i, x in enumerate(lines) if within[i] or x[1]]
     else:
         at = unmarked(lines, around, spans) if spans else []
     return "\n\n".join(lines[i][0] for i in at if lines[i][0])

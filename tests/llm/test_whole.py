@@ -1,9 +1,13 @@
 """What an operator must not leave out: each test fails where a part of the job is cut."""
 
+import os
+import random
+import re
 from collections import Counter
 
 import duckdb
 import numpy as np
+import pytest
 
 import corpus_pipeline
 from docloom.llm import chat, classifier, html, lines, mixing, simhash, sketch, substrings
@@ -122,3 +126,55 @@ def test_columns_of_clashing_names(spark):
     assert chat.format_chats(chats).count() == 4
     for f in (mixing.mix, sketch.compare_with_next, substrings.dedup):
         assert f(df).count() == 4
+
+
+# -- the distribution of text over lines
+
+
+def brute_regions(weights, window, surge):
+    """[surge, dive) points by their definition: places that some window with text covers, parted where none does."""
+    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
+    most = max(sums, default=0)
+    covered = [bool(most) and sums[i] > 0 for i in range(len(sums))]
+    out = []
+    for i in range(len(sums)):
+        if covered[i] and (i == 0 or not covered[i - 1]):
+            j = next((k for k in range(i, len(sums)) if not covered[k]), len(sums))
+            text = [k for k in range(i, j) if weights[k]]
+            if max(sums[i:j]) >= min(surge, most):
+                out.append((text[0], text[-1] + 1))
+    return out
+
+
+def test_surges_and_dives_by_definition():
+    rng = random.Random(4)
+    for _ in range(400):
+        weights = [rng.choice([0, 0, 0, 5, 30, 200]) for _ in range(rng.randrange(30))]
+        got = html.regions([("x", w, True, 0) for w in weights])
+        assert got == brute_regions(weights, html.WINDOW, html.SURGE)
+
+
+def test_marked_article_without_its_list_of_links():
+    body = [f"Paragraph {i} of the article, which goes on for a while, with some more words." for i in range(6)]
+    links = "".join(f"<li><a href={i}>Another story number {i}</a></li>" for i in range(6))
+    page = lambda inside: f"<nav>menu</nav><article>{''.join(f'<p>{x}</p>' for x in body[:3])}{inside}{''.join(f'<p>{x}</p>' for x in body[3:])}</article>"
+    whole = "\n\n".join(body)
+    assert html.main_text(page("")) == whole
+    assert html.main_text(page(f"<ul>{links}</ul>")) == whole
+    one = html.main_text(page("<p><a href=1>A single link</a></p>"))
+    assert one == "\n\n".join([*body[:3], "A single link", *body[3:]])
+    assert html.main_text(page("<p>Short.</p>")) == "\n\n".join([*body[:3], "Short.", *body[3:]])
+
+
+def test_pages_without_marks(spark):
+    """Blocks found where neither tags nor names tell the article, against those of the marked page."""
+    path = "/root/testdata/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("needs the test tables")
+    hit = found = wanted = 0
+    for r in spark.read.parquet(path).select("html").collect():
+        bare = re.sub(r"<(/?)(?:article|main)\b", r"<\1div", r.html or "")
+        bare = re.sub(r"\s(?:class|id|role)=(?:\"[^\"]*\"|'[^']*'|[^\s>]+)", "", bare)
+        a, b = (Counter(html.main_text(p).split("\n\n")) for p in (r.html, bare))
+        hit, found, wanted = hit + sum((a & b).values()), found + sum(b.values()), wanted + sum(a.values())
+    assert hit / found > 0.99 and hit / wanted > 0.99
