@@ -44,8 +44,12 @@ def top(scored: DataFrame, k: int, by: str | None = None, score: str = "score",
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
-def batch(index: Postings, queries: DataFrame, k: int, by: str = "query_id", length_norm: str = "exact") -> DataFrame:
-    """queries(query_id, term) -> query_id, chunk_id, score, rank: OR of terms, k best each."""
+def batch(index: Postings, queries: DataFrame, k: int, by: str = "query_id", length_norm: str = "exact", digits: int | None = None, among: DataFrame | None = None) -> DataFrame:
+    """queries(query_id, term) -> query_id, chunk_id, score, rank: OR of terms, k best each; of the chunks of
+    `among` only, if that is given, which changes no score. With digits, scores are rounded before they are ranked."""
     terms = queries.groupBy(by, "term").agg(F.count("*").cast("double").alias("boost"))
-    scored = score_terms(index, terms, [by], length_norm).groupBy(by, "chunk_id").agg(F.sum("score").alias("score"))
-    return top(scored, k, by)
+    rows = score_terms(index, terms, [by], length_norm)
+    if among is not None:
+        rows = rows.join(among.select("chunk_id"), "chunk_id", "left_semi")
+    total = F.sum("score") if digits is None else F.round(F.sum("score"), digits)
+    return top(rows.groupBy(by, "chunk_id").agg(total.alias("score")), k, by)

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.embed import Embedder, HashEmbedder, embedded
-from ..functions.text import STANDARD
+from ..functions.text import STANDARD, tokens
 from ..operators import bm25, dictionary, fusion, knn, postings
 from ..operators.chunking import chunk_files, chunks_of, cut_files, named
 from ..operators.upsert import upsert
@@ -224,10 +224,21 @@ class Engine:
     def search(self, query: str, mode: SearchMode = SearchMode.BM25, k: int = 10, source_ids: Iterable[str] | None = None) -> DataFrame:
         return {SearchMode.BM25: self.bm25, SearchMode.VECTOR: self.vector, SearchMode.HYBRID: self.hybrid}[mode](query, k, source_ids)
 
-    def search_many(self, queries: DataFrame, k: int = 10) -> DataFrame:
-        """queries(query_id, text) -> query_id, chunk_id, score, rank: words of each joined by OR."""
-        from ..functions.text import tokens
-
-        x = self.index()
-        words = queries.select("query_id", F.inline(tokens(F.col("text"), self.pattern))).select("query_id", "term")
-        return bm25.batch(x, words, k, length_norm=self.length_norm)
+    def search_many(self, queries: DataFrame, k: int = 10, mode: SearchMode = SearchMode.BM25, source_ids: Iterable[str] | None = None) -> DataFrame:
+        """queries(query_id, text) -> query_id, chunk_id, score, rank, by any mode, in one plan: words of each joined by
+        OR, vectors of their texts, or both fused; of some sources only, if these are given."""
+        ids, fetch = list(source_ids or []), k if mode != SearchMode.HYBRID else max(2 * k, 20)
+        lists = []
+        if mode != SearchMode.VECTOR:
+            x = self.index()
+            words = queries.select("query_id", F.inline(tokens(F.col("text"), self.pattern))).select("query_id", "term")
+            lists.append(bm25.batch(x, words, fetch, length_norm=self.length_norm, among=self._of_sources(x.chunks, ids) if ids else None))
+        if mode != SearchMode.BM25:
+            rows = self._read("vectors")
+            if rows is None:
+                raise FileNotFoundError(f"Vector database not found at {os.path.join(self.path, 'vectors')}")
+            asked = queries.select("query_id", embedded(F.col("text"), self.embedder).alias("embedding"))
+            lists.append(knn.nearest_batch(self._of_sources(rows, ids) if ids else rows, asked, fetch, "chunk_id"))
+        if len(lists) == 1:
+            return lists[0].select("query_id", "chunk_id", "score", "rank")
+        return fusion.fuse([x.select("query_id", "chunk_id", "score", "rank") for x in lists], k, "chunk_id", ["query_id"])

@@ -478,6 +478,29 @@ def hybrid_source_filter(spark, sf):
     return _fused(spark, sf, (["src3", "src7"], [1, 4]))
 
 
+@query(f"""with {IDX},
+q as (select item_id query_id, text, embedding from benchmark join embeddings on item_id = vec_id),
+qw as (select query_id, unnest(regexp_extract_all(lower(text), '[\\p{{L}}\\p{{N}}]+')) term from q),
+qt as (select query_id, term, count(*)::double b from qw where term not in ({STOP}) group by all),
+l as (select query_id, post.doc_id id, sum(b * {IDF} * {WEIGHT.replace('dl /', 'dl.dl /')}) s from qt join df on df.term = qt.term join post on post.term = qt.term join dl on dl.doc_id = post.doc_id
+  join documents d on d.doc_id = post.doc_id, st where d.source in ('src3', 'src7') group by all),
+a as (select query_id, id, row_number() over (partition by query_id order by round(s, 9) desc, id) rank, 'bm25' origin, 0 src from l qualify rank <= {FETCH}),
+v0 as (select q.query_id, v.vec_id id, round(1 - {D2} / 2, 6) s from embeddings v, q where v.label in (1, 4)),
+b as (select query_id, id, row_number() over (partition by query_id order by s desc, id) rank, 'vector' origin, 1 src from v0 qualify rank <= {FETCH}),
+f as (select query_id, id, sum(1.0::double / (60 + rank)) s, min(src * 1000 + rank) place, arg_min(origin, src * 1000 + rank) origin from (from a union all from b) group by query_id, id)
+select query_id, id, origin, round(s, 6) score, row_number() over (partition by query_id order by round(s, 12) desc, place)::integer rank from f qualify rank <= {K}""")
+def hybrid_batch(spark, sf):
+    """Filtered hybrid search of many queries in one plan."""
+    v = load(spark, sf, "embeddings")
+    q = load(spark, sf, "benchmark").join(v.select(F.col("vec_id").alias("item_id"), "embedding"), "item_id").withColumnRenamed("item_id", "query_id")
+    x = corpus(spark, sf)
+    words = q.select("query_id", F.inline(tokens(F.col("text"), SIMPLE))).select("query_id", "term")
+    a = bm25.batch(x, words, FETCH, digits=9, among=x.chunks.where(F.col("source_id").isin("src3", "src7")))
+    b = knn.nearest_batch(v.where(F.col("label").isin(1, 4)), q, FETCH, digits=6)
+    lists = [a.select("query_id", F.col("chunk_id").alias("id"), "score", "rank", F.lit("bm25").alias("origin")), b.select("query_id", F.col("vec_id").alias("id"), "score", "rank", F.lit("vector").alias("origin"))]
+    return fusion.fuse(lists, K, "id", ["query_id"]).select("query_id", "id", "origin", r6(F.col("score")).alias("score"), "rank")
+
+
 @query("""with a as (select doc_id::varchar document_id, row_number() over (order by n_chars desc, doc_id) rank, 0 src from documents order by rank limit 30),
 b as (select doc_id::varchar document_id, row_number() over (order by n_chars, doc_id) rank, 1 src from documents order by rank limit 30),
 f as (select document_id, sum(1.0::double / (60 + rank)) s, min(src * 1000 + rank) place from (from a union all from b) group by document_id)

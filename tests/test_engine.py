@@ -191,3 +191,16 @@ def test_many_queries(spark, engine):
     got = engine.search_many(q, 2).collect()
     assert {(r.query_id, r["rank"]) for r in got} == {(1, 1), (1, 2), (2, 1), (2, 2)}
     assert {r.chunk_id for r in got if r.query_id == 1} == {r.chunk_id for r in engine.bm25("cats", 2).collect()}
+
+
+@pytest.mark.parametrize("mode", list(SearchMode))
+def test_many_filtered_queries_are_like_single_ones(spark, engine, mode):
+    texts = {1: "all about cats", 2: "steam engines", 3: "zebra"}
+    q = spark.createDataFrame(list(texts.items()), "query_id int, text string")
+    for sources in (None, ["notes", "other"]):
+        got = {}
+        for r in engine.search_many(q, 3, mode, sources).collect():
+            got.setdefault(r.query_id, []).append((r["rank"], round(r.score, 6)))
+        for i, text in texts.items():
+            want = [(r["rank"], round(r.score, 6)) for r in engine.search(text, mode, 3, sources).collect()]
+            assert sorted(got.get(i, [])) == want
