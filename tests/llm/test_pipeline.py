@@ -136,5 +136,5 @@ def test_mixing_is_what_python_says(spark):
 
 
 def test_queries():
-    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [k.split("_")[0] for k in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(queries.SQL) <= set(queries.QUERIES) and len(corpus_pipeline.STAGES) == 5
