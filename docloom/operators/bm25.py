@@ -6,6 +6,8 @@ boost * idf * (k1 + 1) * tf / (tf + k1 * (1 - b + b * dl / avgdl)).
 
 from __future__ import annotations
 
+from dataclasses import replace
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,8 +50,10 @@ def batch(index: Postings, queries: DataFrame, k: int, by: str = "query_id", len
     """queries(query_id, term) -> query_id, chunk_id, score, rank: OR of terms, k best each; of the chunks of
     `among` only, if that is given, which changes no score. With digits, scores are rounded before they are ranked."""
     terms = queries.groupBy(by, "term").agg(F.count("*").cast("double").alias("boost"))
+    index = index.among(terms)
+    if among is not None:  # after counts and before scores, of which there are many more than postings
+        index = replace(index, postings=index.postings.join(among.select("chunk_id"), "chunk_id", "left_semi"))
+    index = replace(index, postings=index.postings.repartition("chunk_id"))  # so that sums and the first choice need no shuffle
     rows = score_terms(index, terms, [by], length_norm)
-    if among is not None:
-        rows = rows.join(among.select("chunk_id"), "chunk_id", "left_semi")
     total = F.sum("score") if digits is None else F.round(F.sum("score"), digits)
     return top(rows.groupBy(by, "chunk_id").agg(total.alias("score")), k, by)

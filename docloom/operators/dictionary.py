@@ -27,14 +27,15 @@ START, END = "\x02", "\x03"
 
 @dataclass
 class Dictionary:
-    """terms(term), deletions(variant, term), grams(gram, term)."""
+    """terms(term), deletions(variant, term), grams(gram, term): the last two where they were built."""
 
     terms: DataFrame
-    deletions: DataFrame
-    grams: DataFrame
+    deletions: DataFrame | None = None
+    grams: DataFrame | None = None
+    edits: int = EDITS  # that the deletions serve for
 
     def like(self, text: str, edits: int) -> DataFrame:
-        """Terms that may be within so many edits (EDITS at most) of a text."""
+        """Terms that may be within so many edits (those of the table at most) of a text."""
         found = self.deletions.where(F.col("variant").isin(sorted(variants_of(text, edits))))
         return found.select("term").distinct()
 
@@ -43,7 +44,7 @@ class Dictionary:
         test = F.col("term").rlike(rf"\A(?:{regex})\z")
         if (prefix := plain_prefix(regex)) is not None:
             return self.terms.where(F.col("term").startswith(prefix))
-        grams = grams_of(literals(regex))
+        grams = grams_of(literals(regex)) if self.grams is not None else []
         if not grams:
             return self.terms.where(test)
         some = self.grams.where(F.col("gram").isin(grams)).groupBy("term").agg(F.count("*").alias("n")).where(F.col("n") == len(grams))
@@ -61,9 +62,11 @@ def _without_one(words: Column) -> Column:
     return F.array_distinct(F.flatten(F.transform(F.filter(words, lambda w: F.length(w) > 0), each)))
 
 
-def deletion_rows(terms: DataFrame) -> DataFrame:
+def deletion_rows(terms: DataFrame, edits: int = EDITS) -> DataFrame:
     head = terms.select("term", F.array(F.substring("term", 1, PREFIX)).alias("head"))
     one = head.select("term", "head", _without_one(F.col("head")).alias("one"))
+    if edits == 1:
+        return one.select(F.explode(F.array_distinct(F.concat("head", "one"))).alias("variant"), "term")
     two = one.select("term", F.array_distinct(F.concat("head", "one", _without_one(F.col("one")))).alias("all"))
     return two.select(F.explode("all").alias("variant"), "term")
 
@@ -116,12 +119,16 @@ def grams_of(runs: list[str]) -> list[str]:
     return sorted({r[i : i + 3] for r in runs for i in range(len(r) - 2)})
 
 
-def build(terms: DataFrame, path: str | None = None) -> Dictionary:
-    """terms(term, ...), each once -> its tables, below a folder, or in the shared one."""
+def build(terms: DataFrame, path: str | None = None, edits: int = EDITS, grams: bool = True) -> Dictionary:
+    """terms(term, ...), each once -> its tables, below a folder, or in the shared one: deletions for so many edits
+    (0: none, at most EDITS), and grams if they are wanted."""
     own = stored(terms.select("term").repartitionByRange("term").sortWithinPartitions("term"), "terms", path=path)
-    deletions = deletion_rows(own).repartitionByRange("variant").sortWithinPartitions("variant")
-    grams = gram_rows(own).repartitionByRange("gram", "term").sortWithinPartitions("gram", "term")
-    return Dictionary(own, stored(deletions, "deletions", path=path), stored(grams, "grams", path=path))
+    out = Dictionary(own, edits=edits)
+    if edits:
+        out.deletions = stored(deletion_rows(own, edits).repartitionByRange("variant").sortWithinPartitions("variant"), "deletions", path=path)
+    if grams:
+        out.grams = stored(gram_rows(own).repartitionByRange("gram", "term").sortWithinPartitions("gram", "term"), "grams", path=path)
+    return out
 
 
 def load(spark: SparkSession, path: str) -> Dictionary:

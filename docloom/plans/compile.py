@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 
 from ..functions.text import LONGEST, STOP_WORDS
 from ..operators.bm25 import idf, score_terms, weight
-from ..operators.dictionary import EDITS
 from ..operators.postings import Postings, quantised
+from ..sources.tables import checkpointed
 from .querylang import MUST, NOT, SHOULD, Bool, Everything, Fuzzy, Node, Pattern, Phrase, Range, Term
 
 #: Most terms that a fuzzy term stands for.
@@ -138,12 +138,14 @@ class Compiler:
         each = [F.levenshtein(F.col("term"), F.lit(t), node.edits - n) for t, n in forms.items()]
         d = F.array_min(F.array(*(F.when(e >= 0, e + n) for e, n in zip(each, forms.values()))))
         known = self.index.dictionary
-        terms = self.index.terms if known is None or node.edits > EDITS else known.like(node.text, node.edits)
+        terms = self.index.terms if known is None or node.edits > known.edits else known.like(node.text, node.edits)
         near = terms.select("term", d.alias("d")).where("d is not null")
         share = 1 - F.col("d") / F.least(F.length("term"), F.lit(len(node.text)))
         near = near.withColumn("boost", node.boost * share).where("boost > 0").orderBy("d", "term").limit(EXPANSIONS)
         i = self.leaf()
-        scored = score_terms(self.index, near.select(F.lit(i).alias("leaf"), "term", "boost"), ["leaf"], self.norm)
+        near = checkpointed(near.select(F.lit(i).alias("leaf"), "term", "boost"))
+        some = self.index.cut([r.term for r in near.select("term").collect()])  # EXPANSIONS rows at most
+        scored = score_terms(some, near, ["leaf"], self.norm)
         self.frames.append(scored.groupBy("leaf", "chunk_id").agg(F.sum("score").alias("score")))
         return i
 
