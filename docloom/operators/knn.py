@@ -14,6 +14,8 @@ from .bm25 import top
 
 #: Queries and vectors of a block.
 QUERIES, VECTORS = 4096, 8192
+#: Queries of a matrix product at a time: so many rows of scores are in memory.
+STRIP = 128
 
 
 def squared_distance(a: Column, b: Column) -> Column:
@@ -40,37 +42,47 @@ def nearest(vectors: DataFrame, query: list[float], k: int, key: str = "vec_id")
 
 def packed(rows: DataFrame, key: str, size: int, by: str | None = None) -> DataFrame:
     """(key, embedding[, by]) -> by, ids, matrix (doubles, row by row): blocks of up to so many vectors, made where
-    they are read. Without `by` it is 0. Rows without an embedding are left out."""
+    they are read. Without `by` it is 0; with it, rows should lie in its order, as a block ends where it changes, so
+    that a task holds one block only. Rows without an embedding are left out."""
     kind = dict(rows.dtypes)[key]
     some = rows.where("embedding is not null").select(F.lit(0).alias("by") if by is None else F.col(by).cast("int").alias("by"), key, "embedding")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[int, list] = {}
+        held: list = []
+        n, now = 0, None
 
-        def block(of: int) -> pa.RecordBatch:
-            ids = pa.chunked_array([x[0] for x in held[of]]).combine_chunks()
-            matrix = np.concatenate([x[1] for x in held[of]])
+        def block() -> pa.RecordBatch:
+            ids = pa.chunked_array([x[0] for x in held]).combine_chunks()
+            matrix = np.concatenate([x[1] for x in held])
             lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
-            del held[of]
-            return pa.RecordBatch.from_arrays([pa.array([of], pa.int32()), lists, pa.array([matrix.tobytes()], pa.binary())], ["by", "ids", "matrix"])
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), lists, pa.array([matrix.tobytes()], pa.binary())], ["by", "ids", "matrix"])
 
         for b in batches:
             of = b.column(0).to_numpy()
-            matrix = np.stack([np.asarray(x, np.float64) for x in b.column(2).to_numpy(zero_copy_only=False)]) if b.num_rows else np.zeros((0, 1))
-            for c in np.unique(of).tolist():
-                at = np.flatnonzero(of == c)
-                held.setdefault(c, []).append((b.column(1).take(pa.array(at)), matrix[at]))
-                if sum(len(x[0]) for x in held[c]) >= size:
-                    yield block(c)
-        for c in list(held):
-            yield block(c)
+            ends = [*(np.flatnonzero(np.diff(of)) + 1).tolist(), len(of)] if len(of) else []
+            at = 0
+            for end in ends:
+                if held and now != int(of[at]):
+                    yield block()
+                    n = 0
+                now = int(of[at])
+                while at < end:
+                    m = min(end - at, size - n)
+                    held.append((b.column(1).slice(at, m), np.stack([np.asarray(x, np.float64) for x in b.column(2).slice(at, m).to_numpy(zero_copy_only=False)])))
+                    at, n = at + m, n + m
+                    if n == size:
+                        yield block()
+                        n = 0
+        if held:
+            yield block()
 
     return some.mapInArrow(run, f"by int, ids array<{kind}>, matrix binary")
 
 
 def best_of_blocks(met: DataFrame, k: int, qkind: str, key: str, kind: str, digits: int | None = None) -> DataFrame:
-    """Pairs of blocks (qids, qmatrix, ids, matrix) -> query_id, key, score: one matrix product a pair, and of each
-    query the k best of the block, by score (rounded, if digits are given) and then by key."""
+    """Pairs of blocks (qids, qmatrix, ids, matrix) -> query_id, key, score: matrix products of strips of queries, and of
+    each query the k best of the block, by score (rounded, if digits are given) and then by key."""
     names = ["query_id", key, "score"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -78,18 +90,21 @@ def best_of_blocks(met: DataFrame, k: int, qkind: str, key: str, kind: str, digi
             for i in range(b.num_rows):
                 qids, ids = (b.column(c).slice(i, 1).flatten() for c in ("qids", "ids"))
                 q, v = (np.frombuffer(b.column(c)[i].as_buffer(), np.float64).reshape(len(n), -1) for c, n in (("qmatrix", qids), ("matrix", ids)))
-                s = 1 - np.maximum(0, (q * q).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * q @ v.T) / 2
                 order = np.argsort(np.argsort(np.array(ids.to_pylist()), kind="stable"), kind="stable")  # place of each key
                 width = 1e-9 if digits is None else 10.0**-digits
                 owner, place, scores = [], [], []
-                for j, row in enumerate(s):
-                    at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - width) if len(row) > k else np.arange(len(row))
-                    exact = 1 - ((v[at] - q[j]) ** 2).sum(axis=1) / 2
-                    exact = exact if digits is None else np.round(exact, digits)
-                    kept = np.lexsort((order[at], -exact))[:k]
-                    owner.append(np.full(len(kept), j))
-                    place.append(at[kept])
-                    scores.append(exact[kept])
+                square = (v * v).sum(axis=1)[None, :]
+                for first in range(0, len(q), STRIP):
+                    some = q[first : first + STRIP]
+                    s = 1 - np.maximum(0, (some * some).sum(axis=1)[:, None] + square - 2 * some @ v.T) / 2
+                    for j, row in enumerate(s, first):
+                        at = np.flatnonzero(row >= np.partition(row, len(row) - k)[len(row) - k] - width) if len(row) > k else np.arange(len(row))
+                        exact = 1 - ((v[at] - q[j]) ** 2).sum(axis=1) / 2
+                        exact = exact if digits is None else np.round(exact, digits)
+                        kept = np.lexsort((order[at], -exact))[:k]
+                        owner.append(np.full(len(kept), j))
+                        place.append(at[kept])
+                        scores.append(exact[kept])
                 if owner:
                     yield pa.RecordBatch.from_arrays([qids.take(pa.array(np.concatenate(owner))), ids.take(pa.array(np.concatenate(place))), pa.array(np.concatenate(scores))], names)
 

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docloom.functions.text import SIMPLE
-from docloom.operators import bm25, dictionary, postings
+from docloom.operators import bm25, dictionary, knn, postings
 
 TEXTS = [(1, "walrus eats fish, walrus swims"), (2, "the fish"), (3, ""), (4, None), (5, "Fish fish FISH swims walrvs")]
 
@@ -38,3 +38,13 @@ def test_a_dictionary_has_the_tables_asked_for(spark):
     assert d.grams is None and d.edits == 1 and {r.term for r in d.like("walrus", 1).collect()} >= {"walrus", "walrvs"}
     assert d.deletions.where(F.length("variant") < F.length("term") - 1).count() == 0
     assert dictionary.build(terms, edits=0, grams=False).matching("wa.*us").collect()[0].term == "walrus"
+
+
+def test_blocks_are_no_larger_than_asked_and_memory_holds_a_strip(spark):
+    rows = spark.range(50).select("id", F.array(F.col("id").cast("float"), F.lit(1.0).cast("float")).alias("embedding"), F.floor(F.col("id") / 20).cast("int").alias("cell")).coalesce(1)
+    got = knn.packed(rows, "id", 8, "cell").collect()
+    assert [(r.by, len(r.ids)) for r in got] == [(0, 8), (0, 8), (0, 4), (1, 8), (1, 8), (1, 4), (2, 8), (2, 2)]
+    assert [i for r in got for i in r.ids] == list(range(50)) and all(len(r.matrix) == 16 * len(r.ids) for r in got)
+    v = spark.range(300).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * k + 1).cast("float") for k in range(4))).alias("embedding"))
+    best = knn.nearest_batch(v, v.withColumnRenamed("vec_id", "query_id"), 1).collect()  # more queries than a strip
+    assert knn.STRIP < 300 and all(r.query_id == r.vec_id for r in best) and len(best) == 300
