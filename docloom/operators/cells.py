@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed, stored
 from .bm25 import top
-from .knn import QUERIES, VECTORS, best_of_blocks, nearest_batch, packed, similarity, squared_distance
+from .knn import QUERIES, STRIP, VECTORS, best_of_blocks, nearest_batch, packed, similarity, squared_distance
 
 #: Rows of the sample, steps of k-means, and cells at most.
 SAMPLE, STEPS, CELLS = 20_000, 10, 4096
@@ -36,6 +36,8 @@ SAMPLE, STEPS, CELLS = 20_000, 10, 4096
 FIRST = 4
 #: Stored vectors whose neighbours tell how many cells to probe, and the share that must be found.
 ASKED, WANTED = 256, 0.95
+#: A large cell's blocks are dealt to so many tasks at most; a cell of one block to one.
+SALTS = 8
 _SLACK = 1e-6
 
 
@@ -69,8 +71,11 @@ def k_means(sample: np.ndarray, cells: int, steps: int = STEPS) -> np.ndarray:
 
 def _nearest(v: np.ndarray, c: np.ndarray, n: int = 1) -> np.ndarray:
     """Places of the n nearest centroids of each vector: n rows."""
-    d = (c * c).sum(axis=1)[None, :] - 2 * v @ c.T
-    return d.argmin(axis=1)[None, :] if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n].T
+    square, out = (c * c).sum(axis=1)[None, :], np.empty((n, len(v)), np.int64)
+    for i in range(0, len(v), STRIP):
+        d = square - 2 * v[i : i + STRIP] @ c.T
+        out[:, i : i + STRIP] = d.argmin(axis=1)[None, :] if n == 1 else np.argsort(d, axis=1, kind="stable")[:, :n].T
+    return out
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -159,10 +164,12 @@ def probe(x: Cells, queries: DataFrame, k: int, probes: int | None = None, digit
                     yield pa.RecordBatch.from_arrays([*b.columns, pa.array(c.astype(np.int32))], ["query_id", "embedding", "cell"])
 
     asked = queries.mapInArrow(run, queries.select("*").schema.add("cell", "integer"))
-    salts = 8  # a large cell's blocks are dealt to so many tasks at most
-    q = packed(asked.repartition(F.col("cell")), "query_id", QUERIES, "cell").select("by", F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"))
-    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
-    v = packed(x.vectors, x.key, VECTORS, "cell").withColumn("salt", F.pmod(F.xxhash64("ids"), F.lit(salts)).cast("int"))
+    parts = {c: min(SALTS, -(-s[0] // VECTORS)) for c, s in x.sizes.items() if s[0] > VECTORS}
+    several = F.create_map(*[F.lit(n) for kv in sorted(parts.items()) for n in kv]) if parts else None
+    salts = F.lit(1) if several is None else F.coalesce(F.element_at(several, F.col("by")), F.lit(1))
+    q = packed(asked.repartition(F.col("cell")).sortWithinPartitions("cell"), "query_id", QUERIES, "cell").select("by", F.col("ids").alias("qids"), F.col("matrix").alias("qmatrix"))
+    q = q.withColumn("salt", F.explode(F.sequence(F.lit(0), salts - 1)))
+    v = packed(x.vectors, x.key, VECTORS, "cell").withColumn("salt", F.pmod(F.xxhash64("ids"), salts).cast("int"))
     return top(best_of_blocks(v.join(q, ["by", "salt"]), k, qkind, x.key, kind, digits), k, "query_id", tie=x.key)
 
 

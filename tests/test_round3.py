@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from docloom.functions.text import SIMPLE
-from docloom.operators import bm25, dictionary, knn, postings
+from docloom.operators import bm25, cells, dictionary, knn, postings
 
 TEXTS = [(1, "walrus eats fish, walrus swims"), (2, "the fish"), (3, ""), (4, None), (5, "Fish fish FISH swims walrvs")]
 
@@ -48,3 +48,16 @@ def test_blocks_are_no_larger_than_asked_and_memory_holds_a_strip(spark):
     v = spark.range(300).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * k + 1).cast("float") for k in range(4))).alias("embedding"))
     best = knn.nearest_batch(v, v.withColumnRenamed("vec_id", "query_id"), 1).collect()  # more queries than a strip
     assert knn.STRIP < 300 and all(r.query_id == r.vec_id for r in best) and len(best) == 300
+
+
+def test_probe_deals_only_large_cells_to_several_tasks(spark, monkeypatch):
+    v = spark.range(400).select(F.col("id").alias("vec_id"), F.array(*(F.sin(F.col("id") * k + 1).cast("float") for k in range(4))).alias("embedding"))
+    q = v.where("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id")
+    x = cells.build(v, cells=3)
+    sent = []
+    whole = cells.best_of_blocks
+    monkeypatch.setattr(cells, "best_of_blocks", lambda met, *a: sent.append(met) or whole(met, *a))
+    want = sorted(map(tuple, cells.probe(x, q, 3, 2).collect()))
+    assert "explode" not in sent[0]._jdf.queryExecution().optimizedPlan().toString() or sent[0].select("salt").distinct().count() == 1
+    monkeypatch.setattr(cells, "VECTORS", 50)
+    assert sorted(map(tuple, cells.probe(x, q, 3, 2).collect())) == want and sent[1].select("salt").distinct().count() > 1
