@@ -69,6 +69,13 @@ def test_short_lines_are_compared(spark):
     assert found[2, 2] == ((1, 2), True) and found[2, 0] == ((1, 0), False) and (1, 4) not in found
 
 
+def test_pairs_below_the_limit_are_seldom_candidates(spark):
+    """Sixty lines that share 52 of 60 words each: of their 1,770 pairs none is alike."""
+    rows = [(i, " ".join([f"w{k}" for k in range(52)] + [f"own{i}x{k}" for k in range(8)])) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert lines.candidates(lines.classes(lines.described(df))).count() < 350 and lines.matches(df).count() == 0
+
+
 # -- pipeline: rows without a doc_id, and rows that share one
 
 
