@@ -248,9 +248,29 @@ def counted_units(docs: DataFrame) -> DataFrame:
     return docs.select("text").mapInArrow(run, "unit string, n bigint").groupBy("unit").agg(F.sum("n").alias("n"))
 
 
-def dictionary(docs: DataFrame, model: Model, most: int = DICTIONARY) -> dict[str, bytes]:
-    """ids (as int32 bytes) of the most frequent units, `most` at most: all above a count that
-    so many units have."""
+def _unpacked(stream: bytes) -> dict[str, bytes]:
+    t = pa.ipc.open_stream(stream).read_all()
+    ids = t.column("ids").combine_chunks()
+    ends, raw = ids.offsets.to_numpy().tolist(), ids.values.cast(pa.int32()).to_numpy().tobytes()
+    return {u: raw[4 * a : 4 * b] for u, a, b in zip(t.column("unit").to_pylist(), ends, ends[1:])}
+
+
+class Packed:
+    """Encoded units as an Arrow table (unit, ids), which reaches workers as a dictionary of int32 bytes: the
+    driver, which looks nothing up, never holds an object for each unit."""
+
+    def __init__(self, table: pa.Table):
+        self.table = table
+
+    def __reduce__(self):
+        out = pa.BufferOutputStream()
+        with pa.ipc.new_stream(out, self.table.schema) as f:
+            f.write_table(self.table)
+        return _unpacked, (out.getvalue().to_pybytes(),)
+
+
+def frequent(docs: DataFrame, model: Model, most: int = DICTIONARY) -> Packed:
+    """The most frequent units with their ids, `most` at most: all above a count that so many units have."""
     counts = materialize(counted_units(docs).where(F.length("unit") <= LONGEST), "units")
     by = counts.groupBy(F.least("n", F.lit(1 << 16)).alias("n")).agg(F.count("*").alias("units")).collect()  # 65,536 rows at most
     least, total = (1 << 16) + 1, 0
@@ -258,8 +278,13 @@ def dictionary(docs: DataFrame, model: Model, most: int = DICTIONARY) -> dict[st
         if total + r.units > most:
             break
         total, least = total + r.units, r.n
-    t = encoded_units(counts.where(F.col("n") >= least).select("unit"), model).toArrow()
-    return {u: np.asarray(x, np.int32).tobytes() for u, x in zip(t.column("unit").to_pylist(), t.column("ids").to_pylist())}
+    return Packed(encoded_units(counts.where(F.col("n") >= least).select("unit"), model).toArrow())
+
+
+def dictionary(docs: DataFrame, model: Model, most: int = DICTIONARY) -> dict[str, bytes]:
+    """`frequent` as a dictionary, ids as int32 bytes."""
+    made, given = frequent(docs, model, most).__reduce__()
+    return made(*given)
 
 
 class _Known(dict):
@@ -337,7 +362,7 @@ def encode(docs: DataFrame, model: Model | None = None, digest: bool = False) ->
     decoded_sha256, of the text that the ids decode to."""
     model = model or Model.load()
     docs = docs.select(*(F.col(f"`{c}`") for c in docs.columns if c not in MADE))
-    shared = docs.sparkSession.sparkContext.broadcast((dictionary(docs, model), model))
+    shared = docs.sparkSession.sparkContext.broadcast((frequent(docs, model), model))
     extra = ["ids", "n_pieces"] + ["decoded_sha256"] * digest
     ddl = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema] + ["ids array<int>", "n_pieces bigint"] + ["decoded_sha256 string"] * digest)
     names = docs.columns

@@ -5,6 +5,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 from collections import Counter, defaultdict
 
 import pytest
@@ -228,6 +229,12 @@ def test_bounds_spare_pairs_of_clusters(spark):
     assert all(few <= 5 and pairs <= few * n for (few, pairs), n in zip(made, (100, 400)))
 
 
+def test_counts_of_tokens_make_a_short_plan(spark):
+    """The driver keeps the plan's text many times over, so the table of counts in it has to be small."""
+    df = spark.createDataFrame([(1, " ".join(f"w{i}" for i in range(200_000)))], "doc_id long, text string")
+    assert len(lines.described(df)._jdf.queryExecution().toString()) < 1_000_000
+
+
 # -- classifier
 
 
@@ -508,6 +515,22 @@ def test_folds(spark):
     assert len(small) <= 2
 
 
+def test_frequent_units_stay_packed_in_the_driver(spark):
+    """Encoding 40,000 distinct units leaves no object for each of them in the driver, at no time."""
+    m = pieces.Model.load()
+    made = pieces.Model({k: m.scores[k] for k in list(m.scores)[:50]}, m.raw, m.byte0, True, m.longest, frozenset())
+    df = spark.createDataFrame([(i, " ".join(f"{i}q{k}" for k in range(400))) for i in range(100)], "doc_id long, text string")
+    tracemalloc.start()
+    try:
+        out = pieces.encode(df, made)
+        assert tracemalloc.get_traced_memory()[1] < 10 << 20
+    finally:
+        tracemalloc.stop()
+    units = pieces.dictionary(df, made)
+    assert len(units) >= 40_000 and all(v == pieces.np.asarray(made.fold(u), "int32").tobytes() for u, v in units.items())
+    assert all(r.n_pieces == len(r.ids) > 1200 for r in out.collect())
+
+
 # -- quality
 
 
