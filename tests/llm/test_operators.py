@@ -235,6 +235,14 @@ def test_counts_of_tokens_make_a_short_plan(spark):
     assert len(lines.described(df)._jdf.queryExecution().toString()) < 1_000_000
 
 
+def test_wide_signatures_fold_to_the_narrow_one(spark):
+    df = spark.createDataFrame([(n, " ".join(f"w{n}x{i}" for i in range(n))) for n in (5, 28, 29, 100, 500)], "doc_id long, text string")
+    hs = lines._set(F.col("text"))
+    want = {r.doc_id: r.s for r in df.select("doc_id", lines._signature(hs).alias("s")).collect()}
+    got = lines.described(df).collect()
+    assert {r.doc_id: r.s for r in got} == want and {r.doc_id for r in got if r.q} == {29, 100, 500}
+
+
 # -- classifier
 
 
