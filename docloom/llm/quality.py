@@ -27,7 +27,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, let, materialize, words
+from .common import INTERPRETED, discard, let, materialize, settings, words
 
 #: Share of a group that the estimate concentrates on.
 CORE = 0.75
@@ -204,9 +204,10 @@ def outliers(stats: DataFrame) -> DataFrame:
     sizes = materialize(rows.groupBy("g").agg(F.sum("count").alias("size")).where(F.col("size") >= LEAST).select("g"), "groups")
     near = F.broadcast if sizes.count() <= GROUPS else (lambda d: d)  # a few numbers for each group
     rows = rows.join(near(sizes), "g")
-    est = materialize(estimates(rows, near), "estimates")
-    inner = _distances(rows.join(near(est), "g")).where(F.col("d2") <= CHI_975).select("g", "count", *X)
-    final = materialize(_factored(_sums(inner, "g"), consistency(0.975), "g"), "estimates")
+    with settings(rows.sparkSession, INTERPRETED):
+        est = materialize(estimates(rows, near), "estimates")
+        inner = _distances(rows.join(near(est), "g")).where(F.col("d2") <= CHI_975).select("g", "count", *X)
+        final = materialize(_factored(_sums(inner, "g"), consistency(0.975), "g"), "estimates")
     every = stats.select("*", *(F.when(~F.col("base_failed"), x).alias(n) for x, n in zip(numbers, X)), own.alias("own"), wide.alias("wide"))
     large = sizes.select(F.col("g").alias("own"), F.lit(True).alias("large"))
     every = every.join(near(large), "own", "left").withColumn("g", F.when(F.col("large"), F.col("own")).otherwise(F.col("wide")))

@@ -623,3 +623,13 @@ def test_least_determinant_of_small_groups(spark):
     got = quality.estimates(df, lambda d: d).collect()
     assert {r.g: r.ld for r in got} == {g: pytest.approx(v) for g, v in want.items()}
     assert all(1 <= r.steps < quality.STEPS for r in got)
+
+
+def test_quality_estimates_are_interpreted_and_settings_put_back(spark, monkeypatch):
+    key, seen, store = "spark.sql.codegen.wholeStage", [], quality.materialize
+    monkeypatch.setattr(quality, "materialize", lambda df, name: (seen.append((name, df.sparkSession.conf.get(key))), store(df, name))[1])
+    docs = spark.range(60).selectExpr("id as doc_id", "repeat(concat('word', id % 7, ' and '), 40) as text", "'en' as lang", "'web' as source")
+    before = spark.conf.get(key)
+    assert quality.outliers(quality.statistics(docs, "doc_id", "lang", "source")).count() == 60
+    assert {v for n, v in seen if n in ("starts", "estimates")} <= {"false"} and ("estimates", "false") in seen
+    assert ("statistics", before) in seen and spark.conf.get(key) == before
